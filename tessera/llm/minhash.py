@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     x, y = few.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), few.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
     rest = allowed(x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct())
     rest = ws.put(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    large = left.where(F.col("rows") > SMALL_KEY).join(reps.select("rep", "n"), "rep").select("key", "rep", "comp", "n")
+    large = ws.put(left.where(F.col("rows") > SMALL_KEY).join(reps.select("rep", "n"), "rep").select("key", "rep", "comp", "n"), "large")
     ids = ws.put(rest.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct(), "ids2")
     sets = sets_of(docs, ids, ws, "sets2", shingle, id_col, text_col)
     more = ws.put(confirm(rest, sets, percent).unionByName(_blocks(large, sets, percent)), "more")
