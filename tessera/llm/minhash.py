@@ -226,3 +226,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nameless = raw.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(nameless)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose document is kept by near_duplicates(); same columns.
+
+    Of several rows of one doc_id the one of the least text stays. Rows without doc_id stay.
+    """
+    ws = Workspace(docs.sparkSession, "dedup")
+    gone = ws.put(near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    own = docs[id_col].cast("long")
+    left = docs.join(F.broadcast(gone) if few else gone, own == F.col("__gone"), "left_anti")
+    again = ws.put(docs.where(own.isNotNull()).groupBy(own.alias("__again")).count().where("count > 1").select("__again"), "again")
+    few = again.count() <= BROADCAST_IDS
+    again = F.broadcast(again) if few else again
+    once = left.join(again, left[id_col].cast("long") == F.col("__again"), "left_anti")
+    rows = left.join(again, left[id_col].cast("long") == F.col("__again")).select("__again", F.struct(*(left[c] for c in left.columns)).alias("__row"), left[text_col].cast("string").alias("__text"))
+    first = rows.groupBy("__again").agg(F.min_by("__row", F.struct(F.col("__text"), F.xxhash64(F.to_json("__row")))).alias("__row")).select("__row.*")
+    return once.unionByName(first)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from .common import Workspace
 from .minhash import near_duplicates
 from .mixing import mix
+from .fingerprints import fingerprint_edits
+from .packing import packed
+from .quality import quality_report
 from .sharding import SHARDS, place
 from .urls import judge
 
@@ -22,10 +25,22 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_table(spark, sf_dir, "documents"), [f"shard-{i:03d}" for i in range(SHARDS)], "doc_id")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"))
 
@@ -37,7 +52,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_sharding": op3_sharding,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
     "op10_mixing": op10_mixing,
 }
