@@ -13,7 +13,9 @@ from .mixing import mix
 from .fingerprints import fingerprint_edits
 from .packing import packed
 from .quality import quality_report
+from .html_text import main_text
 from .sharding import SHARDS, place
+from .tokens import LIMIT, token_counts
 from .urls import judge
 
 
@@ -33,6 +35,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_table(spark, sf_dir, "documents"), [f"shard-{i:03d}" for i in range(SHARDS)], "doc_id")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), LIMIT)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_sharding": op3_sharding,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_token_counts": op5_token_counts,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
