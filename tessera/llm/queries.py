@@ -14,6 +14,7 @@ from .fingerprints import fingerprint_edits
 from .packing import packed
 from .quality import quality_report
 from .html_text import main_text
+from .licenses import license_scan
 from .sharding import SHARDS, place
 from .tokens import LIMIT, token_counts
 from .urls import judge
@@ -45,6 +46,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), LIMIT)
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_html_extraction": op4_html_extraction,
     "op5_token_counts": op5_token_counts,
+    "op6_license_scans": op6_license_scans,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
