@@ -33,7 +33,10 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, rows: int | None = None, per_file: int = 100_000) -> DataFrame:
+        """df as a table. rows: how many it has at most, if that is known; it is then written in as few files as that takes."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // per_file)))
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 

@@ -77,7 +77,8 @@ def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
 
 def sets_of(docs: DataFrame, ids: DataFrame, ws: Workspace, name: str, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """(rep, set binary): the sorted shingle hashes of the documents named in ids (k1 and k2 tell which row of a doc_id)."""
-    few = ids.count() <= BROADCAST_IDS
+    n_ids = ids.count()
+    few = n_ids <= BROADCAST_IDS
     own = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     own = own.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
 
@@ -91,7 +92,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, ws: Workspace, name: str, shingle:
 
     found = own.mapInArrow(run, "rep long, k1 long, set binary")
     # a repeated doc_id counts with the least key, as in classes()
-    return ws.put(found.groupBy("rep").agg(F.min(F.struct("k1", "set")).alias("x")).select("rep", "x.set"), name)
+    return ws.put(found.groupBy("rep").agg(F.min(F.struct("k1", "set")).alias("x")).select("rep", "x.set"), name, n_ids, 10_000)
 
 
 def _distance(a: str, b: str) -> Column:
@@ -183,42 +184,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
     raw = ws.put(signatures(docs, shingle, id_col, text_col), "raw")
+    n_docs = raw.count()
     own = raw.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n", *_SIGS)).alias("x")).select("doc_id", "x.*")
-    sigs = ws.put(own, "sigs")
-    reps = ws.put(sigs.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ["n", *_SIGS])), "reps")
+    sigs = ws.put(own, "sigs", n_docs, 20_000)
+    reps = ws.put(sigs.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ["n", *_SIGS])), "reps", n_docs, 20_000)
     keys = index_keys(reps)
     shared = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("rows")).where("rows > 1")
     hits = ws.put(keys.join(shared, "key"), "hits")
+    n_hits = hits.count()
 
     def allowed(pairs: DataFrame) -> DataFrame:
         x, y = reps.alias("x"), reps.alias("y")
         return pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(_alike("x", "y", percent)).select("a", "b")
 
     stars = hits.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = ws.put(allowed(stars), "stars")
-    ids = ws.put(stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
+    stars = ws.put(allowed(stars), "stars", n_hits)
+    ids = ws.put(stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids", n_docs)
     sets = sets_of(docs, ids, ws, "sets", shingle, id_col, text_col)
-    links = ws.put(confirm(stars, sets, percent), "links")
+    links = ws.put(confirm(stars, sets, percent), "links", stars.count(), 20_000)
     ws.drop("sets", "ids")
-    first = ws.put(connected_components(links, ws), "first")
+    first = ws.put(connected_components(links, ws, rows=n_hits), "first", n_docs)
 
     entries = hits.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "rows", F.coalesce("component", "rep").alias("comp"))
-    entries = ws.put(entries, "entries")
+    entries = ws.put(entries, "entries", n_hits)
     ws.drop("hits")
     mixed_keys = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = ws.put(entries.join(mixed_keys, "key"), "left")
+    left = ws.put(entries.join(mixed_keys, "key"), "left", n_hits)
     few = left.where(F.col("rows") <= SMALL_KEY).select("key", "rep", "comp")
     x, y = few.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), few.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
     rest = allowed(x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct())
-    rest = ws.put(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    large = ws.put(left.where(F.col("rows") > SMALL_KEY).join(reps.select("rep", "n"), "rep").select("key", "rep", "comp", "n"), "large")
-    ids = ws.put(rest.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct(), "ids2")
+    rest = ws.put(rest.join(stars, ["a", "b"], "left_anti"), "rest", n_hits)
+    large = ws.put(left.where(F.col("rows") > SMALL_KEY).join(reps.select("rep", "n"), "rep").select("key", "rep", "comp", "n"), "large", n_hits)
+    ids = ws.put(rest.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct(), "ids2", n_docs)
     sets = sets_of(docs, ids, ws, "sets2", shingle, id_col, text_col)
     more = ws.put(confirm(rest, sets, percent).unionByName(_blocks(large, sets, percent)), "more")
     ws.drop("sets2", "ids2", "left", "entries")
     of = first.select(F.col("node").alias("rep"), "component")
     ends = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    second = ws.put(connected_components(ends, ws), "second")
+    second = ws.put(connected_components(ends, ws, rows=n_hits), "second", n_docs)
 
     labels = reps.select("k1", "k2", "rep").join(of, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c1"))
     labels = labels.join(second.toDF("c1", "c2"), "c1", "left").select("k1", "k2", F.coalesce("c2", "c1").alias("component"))
@@ -234,11 +237,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     Of several rows of one doc_id the one of the least text stays. Rows without doc_id stay.
     """
     ws = Workspace(docs.sparkSession, "dedup")
-    gone = ws.put(near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")), "gone")
+    gone = ws.put(near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")), "gone", docs.count())
     few = gone.count() <= BROADCAST_IDS
     own = docs[id_col].cast("long")
     left = docs.join(F.broadcast(gone) if few else gone, own == F.col("__gone"), "left_anti")
-    again = ws.put(docs.where(own.isNotNull()).groupBy(own.alias("__again")).count().where("count > 1").select("__again"), "again")
+    again = ws.put(docs.where(own.isNotNull()).groupBy(own.alias("__again")).count().where("count > 1").select("__again"), "again", 1)
     few = again.count() <= BROADCAST_IDS
     again = F.broadcast(again) if few else again
     once = left.join(again, left[id_col].cast("long") == F.col("__again"), "left_anti")
