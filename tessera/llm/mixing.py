@@ -95,13 +95,13 @@ def mix(docs: DataFrame, ws: Workspace, weights: tuple[int, ...] = WEIGHTS, most
     open_ = (F.col("size") > 0) & (F.col("p") > 0)
     settled = parts.where(~open_).select("doc_id", "source", "size", F.when(F.col("size") > 0, F.col("whole")).otherwise(0).cast("long").alias("copies"))
     live = parts.where(open_).select("source", F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).alias("blocks"), "whole", F.struct((-F.col("size")).alias("down"), F.xxhash64("doc_id", "size").alias("tie"), "doc_id", "size", "p").alias("item"))
-    blocks = per.agg(F.max("rows")).first()[0] or 0
+    blocks, n_rows = per.agg(F.coalesce(F.max("rows"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     blocks, level, done = max(1, -(-blocks // BLOCK)), 0, [settled]
     live = live.withColumn("at", F.pmod(F.col("item.tie"), "blocks"))
     while True:
         level += 1
         folded = live.groupBy("source", "at").agg(F.max("whole").alias("whole"), F.max("blocks").alias("blocks"), F.array_sort(F.collect_list("item")).alias("items"))
-        folded = ws.put(folded.select("source", "at", "whole", "blocks", _fold(F.col("items"), level).alias("x")).select("source", "at", "whole", "blocks", "x.*"), f"fold_{level}")
+        folded = ws.put(folded.select("source", "at", "whole", "blocks", _fold(F.col("items"), level).alias("x")).select("source", "at", "whole", "blocks", "x.*"), f"fold_{level}", None if level == 1 else n_rows // BLOCK)
         out = folded.select("source", "whole", F.explode("done").alias("item"))
         done.append(out.select("item.doc_id", "source", "item.size", (F.col("whole") + F.col("item.p")).cast("long").alias("copies")))
         if blocks == 1:
@@ -123,6 +123,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: f
     Rows of one doc_id are taken as often as the one of them that is taken most.
     """
     ws = Workspace(docs.sparkSession, "mix")
-    taken = ws.put(mix(docs, ws, weights, most).groupBy("doc_id").agg(F.max("copies").alias("n")).where("n > 0").select(F.col("doc_id").alias("__mix_id"), F.col("n").cast("int").alias("__mix_n")), "taken")
+    taken = ws.put(mix(docs, ws, weights, most).groupBy("doc_id").agg(F.max("copies").alias("n")).where("n > 0").select(F.col("doc_id").alias("__mix_id"), F.col("n").cast("int").alias("__mix_n")), "taken", docs.count())
     both = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")))
     return both.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("__mix_n"))).alias("__mix_k")).drop("__mix_k")
