@@ -11,13 +11,18 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 
 
+def _and_equal(word: str):
+    return lambda ok, t: F.coalesce(ok & (t == word), F.lit(False))
+
+
 def phrase_hits(toks: Column, phrase: list[str]) -> Column:
     """How often the phrase's tokens stand next to each other in order."""
     if len(phrase) == 1:
         return F.size(F.filter(toks, lambda t: t == phrase[0]))
-    n, want = F.size(toks), F.array(*map(F.lit, phrase))
-    at = F.sequence(F.lit(1), F.greatest(n - len(phrase) + 1, F.lit(1)))
-    return F.when(n < len(phrase), 0).otherwise(F.size(F.filter(at, lambda i: F.slice(toks, i, len(phrase)) == want)))
+    here = F.transform(toks, lambda t: t == phrase[0])
+    for i, word in enumerate(phrase[1:], 2):
+        here = F.zip_with(here, F.slice(toks, i, F.greatest(F.size(toks), F.lit(1))), _and_equal(word))
+    return F.size(F.filter(here, lambda ok: ok))
 
 
 def bm25(rows: DataFrame, id_col: str, weights: dict[str, float], phrases: list[list[str]], scope: Column | None = None) -> DataFrame:
@@ -41,10 +46,9 @@ def bm25(rows: DataFrame, id_col: str, weights: dict[str, float], phrases: list[
         idf = F.ln((F.col("__n") - n + 0.5) / (n + 0.5))
         idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
         score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__d") / F.col("__avg")))).otherwise(0.0)
-    found = held.where(" or ".join(f"__f{i} > 0" for i in range(len(phrases))))
-    if scope is not None:
-        found = found.where("__in")
-    return found.crossJoin(F.broadcast(stats)).select(F.col(id_col), score.alias("score"))  # stats has one row
+    found = held if scope is None else held.where("__in")
+    # stats has one row. A test of the hits themselves would be pushed below the tokens and make them once for each mention.
+    return found.crossJoin(F.broadcast(stats)).select(F.col(id_col), score.alias("score")).where("score > 0")
 
 
 def top(scored: DataFrame, id_col: str, k: int) -> DataFrame:

@@ -82,7 +82,7 @@ def bm25_sql(table: str, id_col: str, weights: dict[str, float], phrases: list[l
     )
 
 
-@_register(f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql('documents', 'doc_id', {'text': 1.0}, PHRASES)} ORDER BY {'score'} DESC, doc_id LIMIT 20")
+@_register(f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql('documents', 'doc_id', {'text': 1.0}, PHRASES)} x ORDER BY x.score DESC, doc_id LIMIT 20")
 def kw_bm25_topk(spark, sf_dir):
     return lexical.top(lexical.bm25(_t(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, PHRASES), "doc_id", 20).select("doc_id", _r("score").alias("score"))
 
@@ -103,7 +103,7 @@ def kw_phrase(spark, sf_dir):
 _SCOPE_SQL = "lang = 'en' AND source ILIKE 'src1%'"
 
 
-@_register(f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql('documents', 'doc_id', {'text': 1.0, 'source': 1.8}, PHRASES, _SCOPE_SQL)} ORDER BY {'score'} DESC, doc_id LIMIT 50")
+@_register(f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql('documents', 'doc_id', {'text': 1.0, 'source': 1.8}, PHRASES, _SCOPE_SQL)} x ORDER BY x.score DESC, doc_id LIMIT 50")
 def kw_scoped(spark, sf_dir):
     scope = (F.col("lang") == "en") & path_prefix(F.col("source"), "src1")
     return lexical.top(lexical.bm25(_t(spark, sf_dir, "documents"), "doc_id", {"text": 1.0, "source": 1.8}, PHRASES, scope), "doc_id", 50).select("doc_id", _r("score").alias("score"))
@@ -374,10 +374,10 @@ def multi_get_ordered(spark, sf_dir):
 
 
 @_register(
-    "WITH p AS (SELECT l_orderkey, l_linenumber, l_shipdate, epoch_us(l_shipdate) AS at FROM lineitem), i AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) AS s, epoch_us(o_orderdate) + 90 * 86400000000 AS e FROM orders), "
-    "q AS (SELECT l.l_orderkey, l.l_linenumber, o.o_custkey, epoch_us(l.l_shipdate) AS at FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey), "
-    "b AS (SELECT q.l_orderkey, q.l_linenumber, i.o_orderkey, row_number() OVER (PARTITION BY q.l_orderkey, q.l_linenumber ORDER BY i.s DESC, i.e - i.s, i.o_orderkey) AS rn FROM q JOIN i ON q.o_custkey = i.o_custkey AND q.at BETWEEN i.s AND i.e) "
-    "SELECT q.l_orderkey, q.l_linenumber, b.o_orderkey AS enclosing_id FROM q LEFT JOIN b ON q.l_orderkey = b.l_orderkey AND q.l_linenumber = b.l_linenumber AND b.rn = 1"
+    "WITH i AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) AS s, epoch_us(o_orderdate) + 90 * 86400000000 AS e FROM orders), "
+    "q AS (SELECT l.l_orderkey, l.l_linenumber, o.o_custkey, epoch_us(l.l_shipdate) AS at, row_number() OVER () AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey), "
+    "b AS (SELECT q.n, i.o_orderkey, row_number() OVER (PARTITION BY q.n ORDER BY i.s DESC, i.e - i.s, i.o_orderkey) AS rn FROM q JOIN i ON q.o_custkey = i.o_custkey AND q.at BETWEEN i.s AND i.e) "
+    "SELECT q.l_orderkey, q.l_linenumber, b.o_orderkey AS enclosing_id FROM q LEFT JOIN b ON q.n = b.n AND b.rn = 1"
 )
 def interval_enclosing(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("s"))
