@@ -157,9 +157,9 @@ def _blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
         pool = np.flatnonzero(~asks)
         sizes = np.array([len(sets[i]) for i in pool], np.int64)
-        flat, starts = np.concatenate([sets[i] for i in pool]), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        flat, starts = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in pool)]), np.cumsum(sizes) - sizes
         a, b = [], []
-        for i in np.flatnonzero(asks):
+        for i in np.flatnonzero(asks) if len(pool) else ():
             own = sets[i]
             at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
             both = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
