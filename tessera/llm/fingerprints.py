@@ -12,6 +12,8 @@ K = 128
 SHINGLE = 5
 #: Rows of a range of doc_ids whose texts are dealt to one window, on average.
 RANGE_ROWS = 1024
+#: Ranges whose order one window looks at.
+RANGE_BLOCK = 4096
 
 
 def sketched(df: DataFrame, text_col: str, to: str, shingle: int = SHINGLE, k: int = K) -> DataFrame:
@@ -82,8 +84,12 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, range_rows: int = RAN
     rows = docs.withColumn("part", part)
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("tie"))
     heads = rows.groupBy("part").agg(F.min(order).alias("head"))
-    # one row for each range
-    heads = heads.select(F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("into"), F.col("part").alias("from"), "head")
+    # one row for each range; ranges are looked at in blocks of RANGE_BLOCK, and only the blocks' ends in one window
+    heads = heads.withColumn("block", F.floor(F.col("part") / RANGE_BLOCK))
+    ends, every = Window.orderBy("block"), Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = heads.groupBy("block").agg(F.max("part").alias("last")).select("block", F.coalesce(F.lag("last").over(ends), F.max("last").over(every)).alias("before"))
+    inner = F.lag("part").over(Window.partitionBy("block").orderBy("part"))
+    heads = heads.withColumn("inner", inner).join(blocks, "block").select(F.coalesce("inner", "before").alias("into"), F.col("part").alias("from"), "head")
     ghosts = rows.join(heads, (F.col("part") == F.col("from")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.xxhash64("text") == F.col("head.tie")))
     ghosts = ghosts.select(F.col("into").alias("part"), F.lit(1).alias("ghost"), "doc_id", "text")
     return rows.select("part", F.lit(0).alias("ghost"), "doc_id", "text").unionByName(ghosts)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import Workspace
 from .minhash import near_duplicates
 from .mixing import mix
+from .oracles import ORACLE_SQL  # noqa: F401
 from .fingerprints import fingerprint_edits
 from .packing import packed
 from .quality import quality_report
@@ -79,5 +80,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
     "op10_mixing": op10_mixing,
 }
-
-ORACLE_SQL: dict[str, str] = {}

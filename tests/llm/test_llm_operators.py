@@ -369,7 +369,8 @@ def _shingles(text, k=5):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def test_fingerprints(clashing, empty, spark, sf):
+def test_fingerprints(clashing, empty, spark, sf, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BLOCK", 2)
     for df, ranges in ((clashing.where("doc_id is not null").dropDuplicates(["doc_id"]), 3), (spark.read.parquet(f"{sf}/documents.parquet"), 20)):
         rows = sorted(fingerprints.fingerprint_edits(df, range_rows=ranges).collect(), key=lambda r: r.doc_id)
         texts = [r.text or "" for r in sorted(df.select("doc_id", "text").collect(), key=lambda r: r.doc_id)]
