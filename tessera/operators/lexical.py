@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.session import spread
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -30,16 +31,19 @@ def bm25(rows: DataFrame, id_col: str, weights: dict[str, float], phrases: list[
 
     score = sum over phrases of idf * f (K1 + 1) / (f + K1 (1 - B + B D / avg D)): f the hits weighted by their columns, D the
     tokens of all columns, idf = ln((N - n + 0.5) / (n + 0.5)), at least LEAST_IDF. scope restricts what is returned, not the
-    statistics. One pass makes the statistics, a single row, and one the scores.
+    statistics. The statistics are a single row.
     """
     if not phrases:
         return rows.select(F.col(id_col), F.lit(0.0).alias("score")).limit(0)
     toks = {c: tokens(F.col(c)) for c in weights}
-    held = rows.select(F.col(id_col), *([] if scope is None else [scope.alias("__in")]), *(t.alias(f"__t_{c}") for c, t in toks.items()))
+    rows = spread(rows.select(F.col(id_col), *([] if scope is None else [scope.alias("__in")]), *weights))
+    held = rows.select(F.col(id_col), *([] if scope is None else ["__in"]), *(t.alias(f"__t_{c}") for c, t in toks.items()))
     hits = [sum((F.lit(w) * phrase_hits(F.col(f"__t_{c}"), p) for c, w in weights.items()), F.lit(0.0)) for p in phrases]
     size = sum((F.size(f"__t_{c}") for c in weights), F.lit(0))
     held = held.select(F.col(id_col), *([] if scope is None else ["__in"]), size.alias("__d"), *(h.alias(f"__f{i}") for i, h in enumerate(hits)))
-    stats = held.agg(F.count("*").alias("__n"), F.avg("__d").alias("__avg"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__n{i}") for i in range(len(phrases))))
+    # dealt anew as numbers, so that both uses below read the same exchange and texts are tokenised once
+    held = held.repartition(F.col(id_col))
+    stats = held.agg(F.count("*").alias("__n"), *([] if scope is None else [F.count_if("__in").alias("__scoped")]), F.avg("__d").alias("__avg"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__n{i}") for i in range(len(phrases))))
     score = F.lit(0.0)
     for i in range(len(phrases)):
         n, f = F.col(f"__n{i}"), F.col(f"__f{i}")
@@ -59,13 +63,13 @@ def postings(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """The inverted index (term, id, column, hits, positions, size of the row); to be written sorted by term, so that a query's terms prune files."""
     size = sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0))
     each = F.array(*(F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("toks")) for c in columns))
-    out = rows.select(F.col(id_col), size.alias("size"), F.explode(each).alias("x")).select(id_col, "size", "x.column", F.posexplode("x.toks").alias("position", "term"))
+    out = spread(rows.select(id_col, *columns)).select(F.col(id_col), size.alias("size"), F.explode(each).alias("x")).select(id_col, "size", "x.column", F.posexplode("x.toks").alias("position", "term"))
     return out.groupBy("term", id_col, "column", "size").agg(F.count("*").alias("hits"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
 def document_frequencies(rows: DataFrame, id_col: str, column: str) -> DataFrame:
     """(term, df, tf): rows with the term, and its occurrences. Counted within each row first, so a frequent term shuffles as a few partial sums."""
-    counted = rows.select(F.explode(tokens(F.col(column))).alias("term"), F.col(id_col)).groupBy("term", id_col).agg(F.count("*").alias("n"))
+    counted = spread(rows.select(id_col, column)).select(F.explode(tokens(F.col(column))).alias("term"), F.col(id_col)).groupBy("term", id_col).agg(F.count("*").alias("n"))
     return counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
