@@ -9,11 +9,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import fetch_text, path_prefix, query_phrases
+from tessera.functions.text import fetch_text, path_prefix, query_phrases, stable_id
 from tessera.operators import chunks as chunk_ops
-from tessera.operators import dense, extract, fusion, lexical, navigation, reconcile
+from tessera.operators import dense, documents, extract, fusion, lexical, navigation, reconcile
 from tessera.settings import Settings
-from tessera.sources import scan
+from tessera.sources import pdf, scan
 from tessera.sources.snapshot import SnapshotStore
 
 MODES = ("auto", "code", "hybrid", "semantic", "keyword", "symbol")
@@ -54,6 +54,9 @@ class Engine:
             found = extract.symbols(changed)
             refs = extract.references(changed, found)
             made = chunk_ops.chunks(changed, found, self.settings)
+            pdfs, pdf_made = self._pdf_chunks(files_to_read)
+            if pdfs is not None:
+                changed, made = changed.drop("text").unionByName(pdfs).withColumn("text", F.lit("")), made.unionByName(pdf_made)
             known = reconcile.vector_cache(old["chunks"], old["vectors"]) if old else None
             vectors = dense.embed_once(made.select(F.col("id").alias("chunk_id"), "embedding_hash", "embedding_text"), known.select("embedding_hash", "vector") if known is not None else None, self.embed, self.dim)
             new = {"docs": changed.drop("text"), "chunks": made.drop("embedding_text"), "symbols": found, "refs": refs, "vectors": vectors.select("chunk_id", "vector")}
@@ -74,6 +77,20 @@ class Engine:
         counts = reconcile.statistics(self.store.tables(version)).first().asDict()
         return {"ok": True, "version": version, "seconds": round(time.time() - began, 3)} | counts
 
+    def _pdf_chunks(self, files: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+        """Rows of documents and chunks of the PDF files, where the library that reads them is there and there are any."""
+        if not pdf.available():
+            return None, None
+        own = files.where(F.lower("path").endswith(".pdf"))
+        if own.isEmpty():
+            return None, None
+        docs = own.select(stable_id(F.col("root"), F.col("path")).alias("doc_id"), "root", "path", F.element_at(F.split("path", "/"), -1).alias("title"), "uri", "size_bytes", "mtime_ns")
+        content = reduce(DataFrame.unionByName, (self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(scan._root_uri(r)).select(F.col("path").alias("uri"), "content") for r in self.roots))
+        held = docs.join(content, "uri")
+        blocks = pdf.read_pdf_blocks(held, self.settings).where("error = ''").join(docs.select("uri", "doc_id"), "uri")
+        rows = held.select("doc_id", "root", "path", "title", F.sha2("content", 256).alias("content_hash"), "size_bytes", "mtime_ns")
+        return rows, chunk_ops.pdf_document_chunks(docs, blocks, self.settings)
+
     # --- reading -------------------------------------------------------------------------------------------
 
     def _tables(self) -> dict[str, DataFrame]:
@@ -111,7 +128,29 @@ class Engine:
         fused = fusion.fuse(lists, weights, "id", k, s.rrf_k, {"symbol": s.symbol_bonus})
         return navigation.packed_hits(fused.select("id", "score"), t["chunks"], include_text, s.snippet_chars)
 
-    search = code_search
+    def search(self, query: str, **options) -> list[dict]:
+        """code_search's rows, kept for each version of the index and set of arguments."""
+        key = (self.store.check(), query, tuple(sorted(options.items())))
+        if key not in self._cache:
+            if len(self._cache) >= 1024:
+                self._cache.pop(next(iter(self._cache)))
+            self._cache[key] = [r.asDict(True) for r in self.code_search(query, **options).collect()]
+        return [dict(r) for r in self._cache[key]]
+
+    def document_search(self, query: str, top_k: int | None = None, mode: str = "hybrid", prefix: str | None = None, include_text: bool = False, postfilter: bool = False) -> DataFrame:
+        """The best chunks of PDF documents."""
+        t = self._tables()
+        held = t["chunks"].withColumn("title", F.element_at(F.split("path", "/"), -1))
+        vector = self.query_vector(query) if mode != "keyword" else []
+        hits = documents.document_search(t["docs"], held, t["vectors"], query, vector, top_k, mode, prefix, settings=self.settings, postfilter=postfilter)
+        return navigation.packed_hits(hits.select("id", "score"), t["chunks"], include_text, self.settings.snippet_chars)
+
+    def document_outline(self, path_or_id: str, limit: int = 500) -> list[dict]:
+        t = self._tables()
+        doc = navigation.find_document(t["docs"], t["chunks"], path_or_id).first()
+        if doc is None:
+            raise KeyError(path_or_id)
+        return [r.asDict() for r in navigation.outline(t["chunks"], doc.doc_id, limit).collect()]
 
     def find_symbol(self, name: str, kind: str | None = None, prefix: str | None = None, limit: int | None = None) -> DataFrame:
         t = self._tables()
@@ -119,6 +158,11 @@ class Engine:
         hits = navigation.symbol_tiers(t["symbols"], name, limit or self.settings.default_top_k, where)
         return t["symbols"].join(F.broadcast(hits), "id").withColumn("uri", F.concat(F.lit("symbol://"), F.col("id"))).orderBy(F.col("score").desc(), "line_start", "id")
 
+    def mentions(self, name: str, prefix: str | None = None, limit: int | None = None) -> DataFrame:
+        """Chunks with the words of a name: what there is when no reference has it."""
+        hits = lexical.bm25(self._tables()["chunks"], "id", {"text": 1.0}, query_phrases(name), path_prefix(F.col("path"), prefix))
+        return navigation.packed_hits(lexical.top(hits, "id", limit or self.settings.reference_limit), self._tables()["chunks"], chars=self.settings.snippet_chars)
+
     def references(self, name: str, prefix: str | None = None, limit: int | None = None) -> DataFrame:
         n = max(1, min(limit or self.settings.reference_limit, 4 * self.settings.reference_limit))
         return navigation.references(self._tables()["refs"], name, n, path_prefix(F.col("path"), prefix))

@@ -38,6 +38,27 @@ def page_blocks(raw: dict) -> list[dict]:
     return out
 
 
+def available() -> bool:
+    try:
+        import pymupdf  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
+def page_tables(page) -> list[dict]:
+    """The tables that the library finds on a page, as markdown blocks."""
+    out = []
+    for table in page.find_tables().tables:
+        rows = [[" ".join((c or "").split()).replace("|", "\\|") for c in r] for r in table.extract()]
+        width = max(map(len, rows), default=0)
+        lines = ["| " + " | ".join([*r, *[""] * (width - len(r))]) + " |" for r in rows]
+        if lines:
+            lines.insert(1, "| " + " | ".join(["---"] * width) + " |")
+            out.append({"text": "\n".join(lines), "bbox": [round(float(x), 2) for x in table.bbox], "font_size": 0.0, "bold_ratio": 0.0, "mono_ratio": 0.0})
+    return out
+
+
 def read_pdf_blocks(files: DataFrame, settings: Settings | None = None, ocr: str = "off") -> DataFrame:
     """Blocks of the PDF files in files (uri, content), a row each; a file that can't be read gives one row with its error.
 

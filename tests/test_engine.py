@@ -82,7 +82,7 @@ def test_symbols_references_and_chunks(engine):
 def test_searches(engine):
     top = engine.code_search("validate_token").first()
     assert top.symbol_name == "validate_token"
-    assert engine.code_search("sessions", mode="keyword").first().path == "README.md"
+    assert engine.code_search("words about sessions", mode="keyword").first().path == "README.md"
     assert engine.code_search("def refresh", mode="semantic").count() > 0
     assert engine.find_symbol("validate_token").first().score >= 100
     assert engine.references("validate_token").first().line == 10
@@ -100,6 +100,29 @@ def test_fetch_gives_context(engine):
         engine.fetch("symbol://nothing")
 
 
+def test_tools_and_server(engine):
+    import io
+    import json
+
+    from tessera.tools import Tools, serve
+
+    tools = Tools(engine)
+    assert len(tools.names()) == 17
+    assert tools.call("code_search", {"query": "validate_token"})["results"][0]["symbol_name"] == "validate_token"
+    assert engine.search("validate_token") is not engine.search("validate_token") and engine.search("validate_token") == engine.search("validate_token")
+    assert tools.code_references("validate_token")["references"] and tools.code_references("no sessions")["mentions"]
+    assert tools.rag_reindex() == {"ok": False, "error": "changing the index is not allowed by the settings"}
+    assert tools.rag_doctor()["ok"] and tools.rag_warmup()["ok"]
+    assert tools.document_search("sessions", mode="keyword") == {"results": []}
+    with pytest.raises(KeyError):
+        tools.document_outline("none.pdf")
+    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "rag_status"}}, {"id": 4, "method": "nothing"}]
+    out = io.StringIO()
+    serve(engine, io.StringIO("\n".join(map(json.dumps, asked))), out)
+    answers = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [a["id"] for a in answers] == [1, 2, 3, 4] and len(answers[1]["result"]["tools"]) == 17 and "error" in answers[3]
+
+
 def test_updates_keep_ids_and_vectors(engine, tree):
     before = {r.name: r.id for r in engine._tables()["symbols"].collect()}
     chunk_ids = {r.id for r in engine._tables()["chunks"].where("chunk_type = 'symbol'").collect()}

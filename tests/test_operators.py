@@ -115,6 +115,9 @@ def test_margins_kinds_tables_and_chunks(spark):
     made = pdf_blocks.pdf_chunks(kinds, tokens=80, overlap=10).orderBy("page", "ord").collect()
     assert made[0].section == "Heading a" and all("Heading" not in c.text for c in made)
     assert {c.page for c in made} == {1, 2, 3, 4} and all(f"body p {i}" in " ".join(c.text for c in made) for i in range(3))
+    docs = spark.createDataFrame([("d", "r.pdf")], "doc_id string, path string")
+    rows = chunks.pdf_document_chunks(docs, df, Settings(pdf_chunk_tokens=80, pdf_chunk_overlap=10)).orderBy("ord").collect()
+    assert [r.page for r in rows] == sorted(r.page for r in rows) and len({r.id for r in rows}) == len(rows) == len(made)
     table = spark.range(1).select(pdf_blocks.table_markdown(F.array(F.array(F.lit("a"), F.lit("b|c")), F.array(F.lit("1")))).alias("t")).first().t
     assert table == "| a | b\\|c |\n| --- | --- |\n| 1 |  |"
 
