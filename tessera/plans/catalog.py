@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import FOLD_FROM, FOLD_TO, fetch_text, is_binary, normalized_lines, ordered_terms_pattern, path_prefix, query_phrases, query_terms_column, snippet, stable_id
 from tessera.functions.vectors import norm, normalized
-from tessera.operators import dense, fusion, lexical, navigation, pdf_blocks, reconcile
+from tessera.operators import chunks, dense, fusion, lexical, navigation, pdf_blocks, reconcile
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -561,3 +561,35 @@ def refs_regex_lines(spark, sf_dir):
     lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     found = lines.select("doc_id", (F.col("n") + 1).alias("line"), F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)[.]"), F.lit(1))).alias("target"))
     return found.groupBy("doc_id", "line", F.lower("target").alias("target_name_lc")).agg(F.count("*").alias("hits"))
+
+
+@_register(
+    """
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+c AS (SELECT doc_id, i, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto, length(line) + 1 AS own FROM l),
+t AS (SELECT doc_id, max(i) AS n, max(upto) - 1 AS chars FROM c GROUP BY doc_id),
+w AS (SELECT doc_id, 0 AS part, 1 AS s, (SELECT coalesce(min(c.i), t.n) FROM c WHERE c.doc_id = t.doc_id AND c.upto >= 1536) AS e FROM t WHERE n > 2 AND chars > 1536
+      UNION ALL SELECT w.doc_id, w.part + 1, greatest(w.s + 1, w.e - 1),
+        (SELECT coalesce(min(c.i), t.n) FROM c WHERE c.doc_id = w.doc_id AND c.i >= greatest(w.s + 1, w.e - 1) AND c.upto - (SELECT d.upto - d.own FROM c d WHERE d.doc_id = w.doc_id AND d.i = greatest(w.s + 1, w.e - 1)) >= 1536)
+      FROM w JOIN t USING (doc_id) WHERE w.e < t.n)
+SELECT doc_id, part::INTEGER AS part, s::INTEGER AS line_start, e::INTEGER AS line_end FROM w UNION ALL SELECT doc_id, 0, 1, n::INTEGER FROM t WHERE n <= 2 OR chars <= 1536
+"""
+)
+def line_window_chunks(spark, sf_dir):
+    return chunks.window_lines(_t(spark, sf_dir, "documents"), "doc_id", "text", 1536, 2)
+
+
+@_register(
+    """
+WITH RECURSIVE p AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, greatest(1, length(text) // 4) AS own FROM conversations),
+g AS (SELECT conv_id, i, 0 AS g, own AS size FROM p WHERE i = 1
+      UNION ALL SELECT p.conv_id, p.i, CASE WHEN g.size + p.own <= 384 THEN g.g ELSE g.g + 1 END, CASE WHEN g.size + p.own <= 384 THEN g.size + p.own ELSE p.own END FROM g JOIN p ON p.conv_id = g.conv_id AND p.i = g.i + 1),
+c AS (SELECT conv_id, g, trim(string_agg(text, chr(10) || chr(10) ORDER BY p.i), ' ' || chr(10)) AS text FROM g JOIN p USING (conv_id, i) GROUP BY conv_id, g),
+m AS (SELECT conv_id, g, text, sum(CASE WHEN g = 0 OR length(text) >= 80 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY g) - 1 AS ord FROM c)
+SELECT conv_id, ord::INTEGER AS ord, string_agg(text, chr(10) || chr(10) ORDER BY g) AS text FROM m GROUP BY conv_id, ord
+"""
+)
+def paragraph_pack_chunks(spark, sf_dir):
+    whole = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    texts = whole.select("conv_id", F.array_join(F.transform("turns", lambda t: t["text"]), "\n\n").alias("text"))
+    return chunks.chunk_texts(texts, "conv_id", "text").select("conv_id", "ord", "text")
