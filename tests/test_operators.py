@@ -187,3 +187,33 @@ def test_globs():
 
     assert re.match(T.glob_regex("**/*.py"), "a/b/c.py") and not re.match(T.glob_regex("**/*.py"), "c.py")
     assert re.match(T.glob_regex("id_rsa.*"), "id_rsa.pub") and not re.match(T.glob_regex("[!a].x"), "a.x")
+
+
+def test_inverted_lists_find_most_neighbours(spark, sf, tmp_path):
+    from tessera.operators import ann
+
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    centroids = ann.fit_centroids(vectors, 16)
+    ann.ivf_index(vectors, centroids).write.partitionBy("list").parquet(str(tmp_path / "ivf"))
+    index = spark.read.parquet(str(tmp_path / "ivf"))
+    assert index.count() == vectors.count()
+    found = total = 0
+    for r in vectors.where("vec_id < 100").orderBy("vec_id").limit(12).collect():
+        query = list(r.embedding)
+        want = {x.vec_id for x in dense.dense_topk(vectors, query, 10).collect()}
+        plan = ann.ivf_topk(index, centroids, query, 10, probes=10)
+        found += len(want & {x.vec_id for x in plan.collect()})
+        total += 10
+    assert found / total >= 0.9
+    assert "PartitionFilters: [list" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_push_filters_and_prune_columns(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    plan = pages.where(T.path_prefix(F.col("url"), "http://th", strict=True)).select("page_id")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(url" in plan and "html" not in plan.split("ReadSchema")[1]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    scored = lexical.bm25(docs, "doc_id", {"text": 1.0}, [["the"], ["license"]])
+    scored.collect()
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "source" not in plan and plan.count("regexp_extract_all") <= 4
