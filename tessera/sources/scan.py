@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,15 @@ def accepted(path: Column, size: Column, settings: Settings, hidden_dirs: bool =
     return ~secret & ~closed & small & (matches_any(path, INCLUDE) | extension.isin(*EXTENSIONS))
 
 
+#: Files that are opened by name at most.
+NAMED_FILES = 10_000
+
+
+def _escaped(uri: str) -> str:
+    """A path in which nothing is a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", uri)
+
+
 def _root_uri(root: str) -> str:
     return root if "://" in root else "file:" + os.path.abspath(root)
 
@@ -109,13 +120,19 @@ def resolve_targets(roots: list[str], paths: list[str], settings: Settings | Non
 def read_documents(spark: SparkSession, files: DataFrame, roots: list[str]) -> DataFrame:
     """(doc_id, root, path, title, text, content_hash, size_bytes, mtime_ns) of text files: binary ones are left out, bad UTF-8 is replaced, line ends are LF.
 
-    Only the listed files' content is kept; PDF files are read by tessera.sources.pdf.
+    Up to NAMED_FILES files are opened by name, so that an update reads what changed and nothing else; more are read with their roots and
+    joined. PDF files are read by tessera.sources.pdf.
     """
-    content = None
-    for root in roots:
-        part = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_root_uri(root)).select(F.col("path").alias("uri"), "content")
-        content = part if content is None else content.unionByName(part)
-    rows = files.where(~F.lower("path").endswith(".pdf")).join(content, "uri").where(~is_binary(F.col("content")))
+    files = files.where(~F.lower("path").endswith(".pdf"))
+    named = [r[0] for r in files.select("uri").limit(NAMED_FILES + 1).collect()]
+    reader = spark.read.format("binaryFile")
+    if not named:
+        content = spark.createDataFrame([], "uri string, content binary")
+    elif len(named) <= NAMED_FILES:
+        content = reader.load([_escaped(u) for u in named]).select(F.col("path").alias("uri"), "content")
+    else:
+        content = reduce(DataFrame.unionByName, (reader.option("recursiveFileLookup", True).load(_root_uri(r)).select(F.col("path").alias("uri"), "content") for r in roots))
+    rows = files.join(content, "uri").where(~is_binary(F.col("content")))
     text = normalized_lines(F.make_valid_utf8(F.col("content").cast("string")))
     name = F.element_at(F.split("path", "/"), -1)
     return rows.select(stable_id(F.col("root"), F.col("path")).alias("doc_id"), "root", "path", name.alias("title"), text.alias("text"), F.sha2("content", 256).alias("content_hash"), "size_bytes", "mtime_ns")

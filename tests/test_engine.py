@@ -158,6 +158,27 @@ def test_second_writer_is_refused(spark, tmp_path):
         a.check()
 
 
+def test_many_files_are_joined_and_odd_names_opened(spark, tmp_path, monkeypatch):
+    (tmp_path / "a [1]{x}.md").write_text("one")
+    (tmp_path / "b c.txt").write_text("two\r\nlines")
+    files = scan.list_files(spark, [str(tmp_path)])
+    named = {(r.path, r.text) for r in scan.read_documents(spark, files, [str(tmp_path)]).collect()}
+    monkeypatch.setattr(scan, "NAMED_FILES", 1)
+    joined = {(r.path, r.text) for r in scan.read_documents(spark, files, [str(tmp_path)]).collect()}
+    assert named == joined == {("a [1]{x}.md", "one"), ("b c.txt", "two\nlines")}
+    assert scan.read_documents(spark, files.limit(0), [str(tmp_path)]).count() == 0
+
+
+def test_git_listing_follows_the_ignore_rules(spark, tmp_path):
+    import subprocess
+
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    (tmp_path / ".gitignore").write_text("skip.py\n")
+    for name in ("skip.py", "take.py", "id_rsa"):
+        (tmp_path / name).write_text("x = 1")
+    assert {r.path for r in scan.git_files(spark, str(tmp_path)).collect()} == {"take.py"}
+
+
 def test_targets(tree, tmp_path):
     got = scan.resolve_targets([str(tree)], ["src/auth.py", "src", "gone.py", "/etc/passwd"])
     assert [p.removeprefix(os.path.realpath(tree) + "/") for p in got.files] == ["src/auth.py"] and len(got.directories) == 1 and len(got.missing) == 1 and got.rejected == ["/etc/passwd"]
