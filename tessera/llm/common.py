@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Rows of a few numbers that are broadcast at most; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has so many rows of a few numbers, marked for broadcast if they are no more than BROADCAST_ROWS."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 class Workspace:
     """Tables in the shared folder. Writing one cuts the lineage, and it outlives any executor."""
 

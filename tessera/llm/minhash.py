@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, mixed, shingle_sets, slices
+from .common import Workspace, broadcast_if_small, mixed, shingle_sets, slices
 from .components import connected_components
 
 CHUNKS, WIDTH = 10, 4
@@ -33,8 +33,6 @@ MAX_DISTANCE = 24
 SMALL_KEY = 64
 #: Shingles in each side of a block: 8 MB.
 BLOCK_SHINGLES = 1_000_000
-#: Ids that are broadcast at most (8 bytes each); beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
 
 _SIGS = [f"s{i}" for i in range(CHUNKS)]
 _rng = np.random.default_rng(11)
@@ -78,9 +76,8 @@ def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
 def sets_of(docs: DataFrame, ids: DataFrame, ws: Workspace, name: str, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """(rep, set binary): the sorted shingle hashes of the documents named in ids (k1 and k2 tell which row of a doc_id)."""
     n_ids = ids.count()
-    few = n_ids <= BROADCAST_IDS
     own = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    own = own.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+    own = own.join(broadcast_if_small(ids, n_ids), "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,12 +235,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     """
     ws = Workspace(docs.sparkSession, "dedup")
     gone = ws.put(near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")), "gone", docs.count())
-    few = gone.count() <= BROADCAST_IDS
     own = docs[id_col].cast("long")
-    left = docs.join(F.broadcast(gone) if few else gone, own == F.col("__gone"), "left_anti")
+    left = docs.join(broadcast_if_small(gone, gone.count()), own == F.col("__gone"), "left_anti")
     again = ws.put(docs.where(own.isNotNull()).groupBy(own.alias("__again")).count().where("count > 1").select("__again"), "again", 1)
-    few = again.count() <= BROADCAST_IDS
-    again = F.broadcast(again) if few else again
+    again = broadcast_if_small(again, again.count())
     once = left.join(again, left[id_col].cast("long") == F.col("__again"), "left_anti")
     rows = left.join(again, left[id_col].cast("long") == F.col("__again")).select("__again", F.struct(*(left[c] for c in left.columns)).alias("__row"), left[text_col].cast("string").alias("__text"))
     first = rows.groupBy("__again").agg(F.min_by("__row", F.struct(F.col("__text"), F.xxhash64(F.to_json("__row")))).alias("__row")).select("__row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace
+from .common import WORD, Workspace, broadcast_if_small
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -124,5 +124,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: f
     """
     ws = Workspace(docs.sparkSession, "mix")
     taken = ws.put(mix(docs, ws, weights, most).groupBy("doc_id").agg(F.max("copies").alias("n")).where("n > 0").select(F.col("doc_id").alias("__mix_id"), F.col("n").cast("int").alias("__mix_n")), "taken", docs.count())
+    taken = broadcast_if_small(taken, taken.count())
     both = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")))
     return both.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("__mix_n"))).alias("__mix_k")).drop("__mix_k")
