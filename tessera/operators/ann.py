@@ -17,7 +17,9 @@ SAMPLE = 50_000
 
 def fit_centroids(vectors: DataFrame, lists: int, vector_col: str = "embedding", sample: int = SAMPLE, rounds: int = 10, seed: int = 1) -> np.ndarray:
     """Unit centroids by spherical k-means on a bounded sample (the vectors of least hash)."""
-    rows = vectors.select(vector_col).orderBy(F.xxhash64(vector_col)).limit(sample).collect()
+    # thinned by hash before the sort, so that not every task sends `sample` rows to the driver
+    low = F.xxhash64(vector_col).cast("double") <= -(2.0**63) + min(1.0, 4 * sample / max(1, vectors.count())) * 2.0**64
+    rows = vectors.select(vector_col).where(low).orderBy(F.xxhash64(vector_col)).limit(sample).collect()
     x = np.array([r[0] for r in rows], np.float32)
     if not len(x):
         return np.zeros((0, 0), np.float32)
