@@ -36,6 +36,11 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def in_few_parts(df: DataFrame, rows: int, per_part: int = 100_000) -> DataFrame:
+    """df, which has about so many rows, in as few partitions as that takes: small results don't become many tiny files."""
+    return df.coalesce(max(1, -(-rows // per_part)))
+
+
 class Workspace:
     """Tables in the shared folder. Writing one cuts the lineage, and it outlives any executor."""
 
@@ -46,7 +51,7 @@ class Workspace:
     def put(self, df: DataFrame, name: str, rows: int | None = None, per_file: int = 100_000) -> DataFrame:
         """df as a table. rows: how many it has at most, if that is known; it is then written in as few files as that takes."""
         if rows is not None:
-            df = df.coalesce(max(1, -(-rows // per_file)))
+            df = in_few_parts(df, rows, per_file)
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 

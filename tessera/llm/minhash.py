@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, broadcast_if_small, mixed, shingle_sets, slices
+from .common import Workspace, broadcast_if_small, in_few_parts, mixed, shingle_sets, slices
 from .components import connected_components
 
 CHUNKS, WIDTH = 10, 4
@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     large = ws.put(left.where(F.col("rows") > SMALL_KEY).join(reps.select("rep", "n"), "rep").select("key", "rep", "comp", "n"), "large", n_hits)
     ids = ws.put(rest.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct(), "ids2", n_docs)
     sets = sets_of(docs, ids, ws, "sets2", shingle, id_col, text_col)
-    more = ws.put(confirm(rest, sets, percent).unionByName(_blocks(large, sets, percent)), "more")
+    close, tied = in_few_parts(confirm(rest, sets, percent), rest.count(), 20_000), in_few_parts(_blocks(large, sets, percent), large.count(), 5_000)
+    more = ws.put(close.unionByName(tied), "more")
     ws.drop("sets2", "ids2", "left", "entries")
     of = first.select(F.col("node").alias("rep"), "component")
     ends = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -225,7 +226,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     out = sigs.join(labels, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nameless = raw.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return out.unionByName(nameless)
+    return in_few_parts(out.unionByName(nameless), n_docs)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace, broadcast_if_small
+from .common import WORD, Workspace, broadcast_if_small, in_few_parts
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, ws: Workspace, weights: tuple[int, ...] = WEIGHTS, most
     while True:
         level += 1
         folded = live.groupBy("source", "at").agg(F.max("whole").alias("whole"), F.max("blocks").alias("blocks"), F.array_sort(F.collect_list("item")).alias("items"))
-        folded = ws.put(folded.select("source", "at", "whole", "blocks", _fold(F.col("items"), level).alias("x")).select("source", "at", "whole", "blocks", "x.*"), f"fold_{level}", None if level == 1 else n_rows // BLOCK)
+        folded = ws.put(folded.select("source", "at", "whole", "blocks", _fold(F.col("items"), level).alias("x")).select("source", "at", "whole", "blocks", "x.*"), f"fold_{level}", n_rows if level == 1 else n_rows // BLOCK, 20_000)
         out = folded.select("source", "whole", F.explode("done").alias("item"))
         done.append(out.select("item.doc_id", "source", "item.size", (F.col("whole") + F.col("item.p")).cast("long").alias("copies")))
         if blocks == 1:
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, ws: Workspace, weights: tuple[int, ...] = WEIGHTS, most
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)
-    return every.join(per.withColumnRenamed("source", "of"), every["source"].eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return in_few_parts(every, n_rows).join(per.withColumnRenamed("source", "of"), every["source"].eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
