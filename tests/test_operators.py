@@ -217,3 +217,13 @@ def test_plans_push_filters_and_prune_columns(spark, sf):
     scored.collect()
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "source" not in plan and plan.count("regexp_extract_all") <= 4
+
+
+def test_blocks_of_a_page_in_dictionary_form():
+    from tessera.sources.pdf import page_blocks
+
+    span = lambda text, **k: {"text": text, "size": 12.0, "font": "Times", "flags": 0} | k
+    raw = {"blocks": [{"bbox": (0, 1, 2.004, 3), "lines": [{"spans": [span("Bold words", font="Times-Bold", size=20.0)]}, {"spans": [span("plain")]}]}, {"lines": [{"spans": [span("  ")]}]}, {"bbox": (0, 0, 1, 1), "lines": [{"spans": [span("x = 1", font="Courier")]}]}]}
+    first, second = page_blocks(raw)
+    assert first["text"] == "Bold words\nplain" and first["bbox"] == [0.0, 1.0, 2.0, 3.0] and first["font_size"] == 16.0 and first["bold_ratio"] == 10 / 15
+    assert second["mono_ratio"] == 1.0 and second["bold_ratio"] == 0.0
