@@ -220,6 +220,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     of = first.select(F.col("node").alias("rep"), "component")
     ends = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     second = ws.put(connected_components(ends, ws, rows=n_hits), "second", n_docs)
+    ws.drop("stars", "links", "rest", "large", "more")
 
     labels = reps.select("k1", "k2", "rep").join(of, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c1"))
     labels = labels.join(second.toDF("c1", "c2"), "c1", "left").select("k1", "k2", F.coalesce("c2", "c1").alias("component"))
