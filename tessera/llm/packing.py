@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace, broadcast_if_small
+from .minhash import near_duplicates
 from .mixing import n_words
 
 CAPACITY = 4096
@@ -114,26 +116,40 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int = CAPACI
     return out
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(cluster, component): the hash of each text that has near copies, and the least hash that links reach (its own row is left out).
+
+    Texts are compared, not doc_ids: rows without doc_id, and each of several rows of one doc_id, count with their own text.
+    """
+    found = near_duplicates(docs.select(_text_hash().alias("doc_id"), "text"), shingle, percent).where("not kept")
+    return Workspace(docs.sparkSession, "packing").put(found.select(F.col("doc_id").alias("cluster"), F.col("component_id").alias("component")), "near", docs.count())
+
+
 def packed(
-    docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, group_rows: int = GROUP_ROWS, size: Column | None = None, cluster: Column | None = None
+    docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, group_rows: int = GROUP_ROWS, size: Column | None = None, cluster: Column | None = None, near: DataFrame | None = None
 ) -> DataFrame:
     """(doc_id, source, piece, start, size, bin_id, bin_offset): every word of docs (doc_id, text, source) in one bin.
 
     size: of a document, by default its words; cluster: documents of equal cluster are never in one bin, by default
-    equal texts. A document longer than a bin is cut: its whole pieces fill bins of their own, the rest is packed like a
+    equal texts; near: what near_copies() gives, for which equal texts become texts that links reach. A document longer than a bin is cut: its whole pieces fill bins of their own, the rest is packed like a
     document, so nothing is dropped. Rows are dealt to groups of about group_rows by a hash that takes in doc_id, so a hot source or
     cluster spreads evenly; each group is packed by best fit, and bin_id is unique over all groups. Documents without words
     take no part. Repeated rows are packed each (as one cluster); null sources are one source, null ids and other columns don't matter.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         (n_words(F.col("text").cast("string")) if size is None else size.cast("long")).alias("whole"),
-        (F.xxhash64(text) if cluster is None else F.xxhash64(cluster)).alias("cluster"),
+        (_text_hash() if cluster is None else F.xxhash64(cluster)).alias("cluster"),
     ).where("whole > 0")
     groups = max(1, -(-docs.count() // group_rows))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "source", "whole", "cluster"), F.lit(groups)))
+    if near is not None:
+        rows = rows.join(broadcast_if_small(near, near.count()), "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).drop("component")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([(c, "ascending") for c in ("whole", "doc_id", "source", "cluster")])

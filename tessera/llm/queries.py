@@ -12,7 +12,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .oracles import ORACLE_SQL  # noqa: F401
 from .fingerprints import fingerprint_edits
-from .packing import packed
+from .packing import near_copies, packed
 from .quality import quality_report
 from .html_text import main_text
 from .licenses import license_scan
@@ -30,7 +30,8 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return packed(docs, near=near_copies(docs))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,6 +232,20 @@ def test_packing_on_awkward_rows(clashing, empty):
     assert packing.packed(empty).count() == 0
 
 
+def test_near_copies_never_share_a_bin(spark, empty, tmp_path):
+    texts = [t for _, t in _families(3)]
+    rows = [(i, t, "en", f"s{i}", 0) for i, t in enumerate(texts)]
+    rows += [(None, texts[1] + " tail", "en", "nameless", 0), (0, texts[60] + " tail", "en", "again", 0), (999, texts[60] + " tail", "en", "third", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op2_best_fit_packing(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in out) == Counter((r[0], r[3], len(r[1].split())) for r in rows)
+    component = _components(_sets([(i, r[1]) for i, r in enumerate(rows)], 5))
+    of = {r[3]: component[i] for i, r in enumerate(rows)}
+    assert max(Counter((r.bin_id, of[r.source]) for r in out).values()) == 1
+    empty.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op2_best_fit_packing(spark, str(tmp_path)).count() == 0
+
+
 # --- sharding ------------------------------------------------------------------------------------------------------
 
 
