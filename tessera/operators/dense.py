@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import dot, norm, trigram_slots
+from tessera.functions.vectors import dot, norm
 
 
 def dense_topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -55,12 +56,61 @@ def dimension_check(vectors: DataFrame, vector_col: str = "embedding") -> DataFr
     return vectors.agg(F.count("*").alias("n"), F.min(F.size(vector_col)).alias("min_dim"), F.max(F.size(vector_col)).alias("max_dim"))
 
 
+#: Trigrams whose hashes a worker keeps, about.
+TRIGRAMS = 200_000
+_hashes: dict[int, int] = {}
+
+
+def _trigram_sums(text: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, sums) of a text that is lower case already."""
+    c = np.frombuffer(f"  {text}  ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    keys, counts = np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:], return_counts=True)
+    if len(_hashes) > TRIGRAMS:
+        _hashes.clear()
+    found = []
+    for k in keys.tolist():
+        h = _hashes.get(k)
+        if h is None:
+            gram = chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF)
+            h = _hashes[k] = int.from_bytes(hashlib.md5(gram.encode()).digest()[:4], "big")
+        found.append(h)
+    h = np.array(found, np.int64)
+    sums = np.bincount(h % dim, np.where(h >> 31 == 1, -counts, counts), dim)
+    slots = np.flatnonzero(sums)
+    return slots, sums[slots]
+
+
 def hash_embedding(rows: DataFrame, id_col: str, text_col: str, dim: int = 384) -> DataFrame:
-    """(id, slot, value): the sparse unit vector of each text's character trigrams, each hashed to a slot and a sign."""
-    each = rows.select(F.col(id_col), F.explode(trigram_slots(F.col(text_col), dim)).alias("x"))
-    sums = each.groupBy(id_col, F.col("x.slot").alias("slot")).agg(F.sum("x.sign").cast("double").alias("value")).where("value <> 0")
+    """(id, slot, value): the sparse unit vector of each text's character trigrams, each hashed to a slot and a sign.
+
+    Each text is summed in one pass, and only texts of an id that several rows share meet in a shuffle: they count as one text.
+    Rows without id are left out.
+    """
+    texts = rows.where(F.col(id_col).isNotNull()).select(id_col, F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+    again = texts.groupBy(F.col(id_col).alias("again")).count().where("count > 1").select("again")
+
+    def run(unit: bool):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    pairs = [_trigram_sums(t, dim) for t in part.column(1).to_pylist()]
+                    values = [v / max(np.sqrt((v * v).sum()), 1e-12) if unit else v for _, v in pairs]
+                    ids = part.column(0).take(pa.array(np.repeat(np.arange(len(pairs)), [len(v) for v in values])))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([x for x, _ in pairs]).astype(np.int32)), pa.array(np.concatenate(values))], names=[id_col, "slot", "value"])
+
+        return each
+
+    schema = f"`{id_col}` {dict(rows.dtypes)[id_col]}, slot int, value double"
+    n_again = again.count()
+    if not n_again:
+        return texts.mapInArrow(run(True), schema)
+    again = F.broadcast(again) if n_again <= 1_000_000 else again
+    on = texts[id_col] == F.col("again")
+    sums = texts.join(again, on, "left_semi").mapInArrow(run(False), schema).groupBy(id_col, "slot").agg(F.sum("value").alias("value")).where("value <> 0")
     length = sums.groupBy(id_col).agg(F.greatest(F.sqrt(F.sum(F.col("value") * F.col("value"))), F.lit(1e-12)).alias("length"))
-    return sums.join(length, id_col).select(id_col, "slot", (F.col("value") / F.col("length")).alias("value"))
+    merged = sums.join(length, id_col).select(id_col, "slot", (F.col("value") / F.col("length")).alias("value"))
+    return texts.join(again, on, "left_anti").mapInArrow(run(True), schema).unionByName(merged)
 
 
 def embed_texts(rows: DataFrame, text_col: str, to: str, embed, dim: int) -> DataFrame:

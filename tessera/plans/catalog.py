@@ -182,6 +182,15 @@ def hash_embed_trigram(spark, sf_dir):
     return dense.hash_embedding(_t(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", "slot", _r("value").alias("value"))
 
 
+@_register(
+    "WITH p AS (SELECT doc_id, '  ' || lower(coalesce(text, '')) || '  ' AS t FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM p), "
+    "h AS (SELECT doc_id, ('0x' || substr(md5(gram), 1, 8))::BIGINT AS h FROM g), s AS (SELECT doc_id, (h % 384)::INTEGER AS slot, sum(CASE WHEN (h >> 31) = 1 THEN -1 ELSE 1 END)::DOUBLE AS v FROM h GROUP BY ALL HAVING v <> 0), "
+    "l AS (SELECT doc_id, greatest(sqrt(sum(v * v)), 1e-12) AS l FROM s GROUP BY doc_id) SELECT doc_id, slot, round(v / l, 6) AS value FROM s JOIN l USING (doc_id)"
+)
+def hash_embed_trigram_documents(spark, sf_dir):
+    return dense.hash_embedding(_t(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "slot", _r("value").alias("value"))
+
+
 @_register("SELECT count(*) AS n, min(len(embedding))::INTEGER AS min_dim, max(len(embedding))::INTEGER AS max_dim FROM embeddings")
 def vector_dim_check(spark, sf_dir):
     return dense.dimension_check(_t(spark, sf_dir, "embeddings"))

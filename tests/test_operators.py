@@ -1,5 +1,6 @@
 """Operators on small frames."""
 
+import hashlib
 import sqlite3
 
 import numpy as np
@@ -51,6 +52,30 @@ def test_dense_plans_and_batches(spark):
     assert dense.dense_topk_many(df, asked.limit(0), 5).count() == 0
 
 
+def _embedded(texts):
+    out = {}
+    for i, t in texts:
+        own = out.setdefault(i, [0] * 384)
+        t = f"  {(t or '').lower()}  "
+        for j in range(len(t) - 2):
+            h = int(hashlib.md5(t[j : j + 3].encode()).hexdigest()[:8], 16)
+            own[h % 384] += -1 if h >> 31 else 1
+    return {(i, k): v / sum(x * x for x in own) ** 0.5 for i, own in out.items() for k, v in enumerate(own) if v}
+
+
+def test_documents_are_hash_embedded(spark, tmp_path):
+    from tessera.plans import catalog
+
+    rng = np.random.default_rng(2)
+    long = " ".join(f"Wort{x} \U0001f600é" for x in rng.integers(0, 5000, 20_000))
+    texts = [(1, None), (2, ""), (3, "a"), (4, long), (5, "same"), (6, "same"), (7, "two rows"), (7, "of one id"), (8, "日本 \n x")]
+    for rows in (texts, [x for x in texts if x[0] != 7]):
+        spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        got = {(r.doc_id, r.slot): r.value for r in catalog.queries()["hash_embed_trigram_documents"](spark, str(tmp_path)).collect()}
+        want = _embedded(rows)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
 def test_texts_are_embedded_once(spark):
     rows = spark.createDataFrame([(1, "h1", "a"), (2, "h1", "a"), (3, "h2", "b")], "id long, embedding_hash string, embedding_text string")
     known = spark.createDataFrame([("h2", [9.0, 9.0])], "embedding_hash string, vector array<float>")
