@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, norm
 
 
+#: Scores that a task holds at once, besides the best so far.
+SCORES = 2_000_000
+
+
 def dense_topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding", where: Column | None = None) -> DataFrame:
     """The k rows of greatest inner product with the query, (id, score), ties by id. where: before the cut (a scope applied after it is a filter on the result)."""
     rows = vectors if where is None else vectors.where(where)
@@ -20,33 +27,62 @@ def dense_topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "ve
     return rows.select(F.col(id_col), dot(F.col(vector_col), q).alias("score")).orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
-def dense_topk_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", most_queries: int = 10_000) -> DataFrame:
-    """The k nearest rows of each query (query_id, vector): (query_id, id, score, rank).
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local one only where none is set, as in tests."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        where = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(where)
+    return f"{where.rstrip('/')}/dense-{uuid.uuid4().hex}"
 
-    The queries, at most most_queries, are broadcast; each batch of vectors is multiplied with all of them and keeps k a query, so only
-    k rows of a query leave each task.
-    """
-    asked = queries.select(F.col(query_id).cast("long"), F.col("vector")).limit(most_queries + 1).collect()
-    if len(asked) > most_queries:
-        raise ValueError(f"more than {most_queries} queries; ask in blocks")
-    if not asked:
-        return vectors.select(F.lit(0).cast("long").alias(query_id), F.col(id_col).cast("long"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+
+def _nearest(vectors: DataFrame, asked: list, k: int, id_col: str, vector_col: str, query_id: str) -> tuple[DataFrame, Broadcast]:
+    """(query_id, id, score) of the k nearest rows of each query in each task, and the broadcast queries."""
     shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in asked]), np.array([r[1] for r in asked], np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
         ids, scores = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
-        for batch in batches:
-            own = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            if not len(own):
-                continue
-            scores = np.concatenate([scores, matrix @ own.T], 1)
-            ids = np.concatenate([ids, np.broadcast_to(batch.column(0).to_numpy(), (len(names), len(own)))], 1)
-            order = np.lexsort((ids, -scores))[:, :k]
-            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+        step = max(1, SCORES // len(names))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                own = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                scores = np.concatenate([scores, matrix @ own.T], 1)
+                ids = np.concatenate([ids, np.broadcast_to(batch.column(0).to_numpy(), (len(names), len(own)))], 1)
+                order = np.lexsort((ids, -scores))[:, :k]
+                ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], names=[query_id, id_col, "score"])
 
-    local = vectors.select(F.col(id_col).cast("long").alias(id_col), vector_col).mapInArrow(run, f"{query_id} long, {id_col} long, score double")
+    return vectors.select(F.col(id_col).cast("long").alias(id_col), vector_col).mapInArrow(run, f"{query_id} long, {id_col} long, score double"), shared
+
+
+def dense_topk_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", most_queries: int = 10_000) -> DataFrame:
+    """The k nearest rows of each query (query_id, vector): (query_id, id, score, rank).
+
+    The queries are broadcast; each batch of vectors is multiplied with all of them and keeps k a query, so only
+    k rows of a query leave each task. More than most_queries are written to the shared folder in blocks of about that many by hash, and one
+    block after another is held against all vectors, so that the driver and the tasks hold one block at a time.
+    """
+    spark, queries = vectors.sparkSession, queries.select(F.col(query_id).cast("long").alias(query_id), "vector")
+    asked = queries.limit(most_queries + 1).collect()
+    if not asked:
+        return vectors.select(F.lit(0).cast("long").alias(query_id), F.col(id_col).cast("long"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    if len(asked) <= most_queries:
+        local, _ = _nearest(vectors, asked, k, id_col, vector_col, query_id)
+    else:
+        root, blocks = _shared_folder(spark), -(-queries.count() // most_queries)
+        dealt = queries.withColumn("block", F.pmod(F.xxhash64(query_id, "vector"), F.lit(blocks)).cast("int"))
+        dealt.repartition("block").write.partitionBy("block").parquet(f"{root}/asked")
+        dealt, written = spark.read.schema(dealt.schema).parquet(f"{root}/asked"), []
+        for i in range(blocks):
+            asked = dealt.where(F.col("block") == i).select(query_id, "vector").collect()
+            if asked:
+                found, shared = _nearest(vectors, asked, k, id_col, vector_col, query_id)
+                found.write.parquet(f"{root}/found_{i}")
+                written.append(f"{root}/found_{i}")
+                shared.destroy()
+        local = spark.read.schema(f"{query_id} long, {id_col} long, score double").parquet(*written)
     best = local.groupBy(query_id).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(id_col)))), 1, k).alias("x"))
     return best.select(query_id, F.posexplode("x").alias("rank", "x")).select(query_id, F.col(f"x.{id_col}"), (-F.col("x.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
 

@@ -52,6 +52,17 @@ def test_dense_plans_and_batches(spark):
     assert dense.dense_topk_many(df, asked.limit(0), 5).count() == 0
 
 
+def test_queries_beyond_a_block_are_all_answered(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    asked = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = {}
+    for r in dense.dense_topk_many(df, asked, 4, most_queries=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {i: np.argsort(-(vectors @ v), kind="stable")[:4].tolist() for i, v in enumerate(vectors)}
+
+
 def _embedded(texts):
     out = {}
     for i, t in texts:
