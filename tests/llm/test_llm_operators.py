@@ -294,12 +294,6 @@ def test_main_text(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
-def test_hosts_agree_on_a_path():
-    short = "<html><body><div class='c1'><p>few words</p></div><div class='x'><p>a promotion that is much longer than the article of this page, which has few words</p></div></body></html>"
-    assert html_text.extract(html_text.parse(short), "html>body>div.c#") == "few words"
-    assert html_text.votes(html_text.parse(PAGE))[0][0].endswith("div.post.post-{n}")
-
-
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="<>/ap! -=\"'&;divscript\n", max_size=120))
 def test_any_markup_is_parsed(html):
