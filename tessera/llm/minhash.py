@@ -3,8 +3,8 @@
 A document's set is its distinct word shingles. Its signature has CHUNKS chunks of WIDTH values of 16 bits, one
 chunk to a long. If two signatures differ in at most 2 * CHUNKS - 1 values, some chunk differs in at most one
 (pigeonhole), so every chunk is entered WIDTH times in the index, each time with one value left out, and each
-such pair meets under a key. At a resemblance of 0.8 a pair meets under no key with probability
-(1 - 0.8^4 - 4 * 0.8^3 * 0.2)^10 = 4e-8. What meets is confirmed on the full sets.
+such pair meets under a key: MAX_DISTANCE is that number, so every pair under the threshold meets. Documents of a resemblance of 0.8
+have signatures beyond it with probability 1.3e-6, and of more with less. What meets is confirmed on the full sets.
 
 Copies never become pairs of rows. Equal sets are one class. Under each key the classes are first held against the
 least one (a star, so at most one pair for each entry), the confirmed pairs give components, and only keys
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, broadcast_if_small, in_few_parts, mixed, shingle_sets, slices
+from .common import RUN, Workspace, broadcast_if_small, gathered, in_few_parts, mixed, shingle_sets, slices
 from .components import connected_components
 
-CHUNKS, WIDTH = 10, 4
-#: Signatures at a resemblance of 0.8 or more differ in more of their 40 values with probability below 1e-8.
-MAX_DISTANCE = 24
+CHUNKS, WIDTH = 13, 4
+#: Signatures of candidates differ in no more of their values: what the index guarantees to find.
+MAX_DISTANCE = 2 * CHUNKS - 1
 #: Keys of more rows are compared in blocks.
 SMALL_KEY = 64
 #: Shingles in each side of a block: 8 MB.
@@ -42,12 +42,18 @@ _ADD = _rng.integers(1, 1 << 63, CHUNKS * WIDTH, dtype=np.uint64)
 
 def signature(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows of CHUNKS longs for the sets that lie end to end in `hashes`; zeros for empty ones."""
-    out = np.zeros((len(offsets) - 1, CHUNKS), np.uint64)
-    full = np.flatnonzero(np.diff(offsets))
-    if len(full):
+    least = np.full((CHUNKS * WIDTH, len(offsets) - 1), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), RUN):
+        run = hashes[a : a + RUN]
+        row = np.arange(np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, a + len(run), "left"))
+        row = row[offsets[row] < offsets[row + 1]]  # the sets with hashes in this run
+        starts = np.maximum(offsets[row] - a, 0)
         for i, (m, c) in enumerate(zip(_MUL, _ADD, strict=True)):
-            least = np.minimum.reduceat(hashes * m + c, offsets[:-1][full])
-            out[full, i // WIDTH] |= (mixed(least) >> np.uint64(48)) << np.uint64(16 * (i % WIDTH))
+            least[i, row] = np.minimum(least[i, row], np.minimum.reduceat(run * m + c, starts))
+    out = np.zeros((len(offsets) - 1, CHUNKS), np.uint64)
+    full = np.diff(offsets) > 0
+    for i in range(CHUNKS * WIDTH):
+        out[full, i // WIDTH] |= (mixed(least[i, full]) >> np.uint64(48)) << np.uint64(16 * (i % WIDTH))
     return out
 
 
@@ -89,7 +95,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, ws: Workspace, name: str, shingle:
 
     found = own.mapInArrow(run, "rep long, k1 long, set binary")
     # a repeated doc_id counts with the least key, as in classes()
-    return ws.put(found.groupBy("rep").agg(F.min(F.struct("k1", "set")).alias("x")).select("rep", "x.set"), name, n_ids, 10_000)
+    return ws.put(found.groupBy("rep").agg(F.min(F.struct("k1", "set")).alias("x")).select("rep", "x.set"), name)
 
 
 def _distance(a: str, b: str) -> Column:
@@ -198,7 +204,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     stars = ws.put(allowed(stars), "stars", n_hits)
     ids = ws.put(stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids", n_docs)
     sets = sets_of(docs, ids, ws, "sets", shingle, id_col, text_col)
-    links = ws.put(confirm(stars, sets, percent), "links", stars.count(), 20_000)
+    links = ws.put(gathered(confirm(stars, sets, percent), stars.count()), "links")
     ws.drop("sets", "ids")
     first = ws.put(connected_components(links, ws, rows=n_hits), "first", n_docs)
 
@@ -214,8 +220,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     large = ws.put(left.where(F.col("rows") > SMALL_KEY).join(reps.select("rep", "n"), "rep").select("key", "rep", "comp", "n"), "large", n_hits)
     ids = ws.put(rest.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct(), "ids2", n_docs)
     sets = sets_of(docs, ids, ws, "sets2", shingle, id_col, text_col)
-    close, tied = in_few_parts(confirm(rest, sets, percent), rest.count(), 20_000), in_few_parts(_blocks(large, sets, percent), large.count(), 5_000)
-    more = ws.put(close.unionByName(tied), "more")
+    # heavy to find, small to write: each in as many tasks as its sets and blocks fill, then in few files
+    more = ws.put(gathered(confirm(rest, sets, percent).unionByName(_blocks(large, sets, percent)), rest.count() + large.count()), "more")
     ws.drop("sets2", "ids2", "left", "entries")
     of = first.select(F.col("node").alias("rep"), "component")
     ends = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -227,7 +233,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     out = sigs.join(labels, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nameless = raw.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return in_few_parts(out.unionByName(nameless), n_docs)
+    return ws.finish(out.unionByName(nameless), n_docs)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,10 +242,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     Of several rows of one doc_id the one of the least text stays. Rows without doc_id stay.
     """
     ws = Workspace(docs.sparkSession, "dedup")
-    gone = ws.put(near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")), "gone", docs.count())
+    gone = near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
     own = docs[id_col].cast("long")
     left = docs.join(broadcast_if_small(gone, gone.count()), own == F.col("__gone"), "left_anti")
-    again = ws.put(docs.where(own.isNotNull()).groupBy(own.alias("__again")).count().where("count > 1").select("__again"), "again", 1)
+    repeated = docs.where(own.isNotNull()).groupBy(own.alias("__again")).count().where("count > 1").select("__again")
+    again = ws.put(gathered(repeated, docs.count(), 1_000_000), "again")
     again = broadcast_if_small(again, again.count())
     once = left.join(again, left[id_col].cast("long") == F.col("__again"), "left_anti")
     rows = left.join(again, left[id_col].cast("long") == F.col("__again")).select("__again", F.struct(*(left[c] for c in left.columns)).alias("__row"), left[text_col].cast("string").alias("__text"))

@@ -436,11 +436,11 @@ def test_features_as_defined(texts):
 def test_verdicts_do_not_depend_on_the_order():
     rng = random.Random(10)
     texts = pa.array([_text(rng, rng.choice([3, 40]), rng.choice([3, 400])) + rng.choice(["", " ###" * 20, "!!" * 40]) for _ in range(60)])
-    want = quality.passes(texts, quality.RULES)
+    want = quality.passes(quality.Texts(texts), quality.RULES)
     for _ in range(5):
         order = list(quality.RULES)
         rng.shuffle(order)
-        assert (quality.passes(texts, tuple(order)) == want).all()
+        assert (quality.passes(quality.Texts(texts), tuple(order)) == want).all()
     assert 0 < want.sum() < 60
 
 
@@ -455,10 +455,25 @@ def test_quality_on_awkward_rows(clashing, empty):
 
 
 def test_rules_of_most_rejections_for_their_cost_come_first(spark, sf):
+    rules = tuple(quality.Rule(c, lambda t: t["n_words"] < 0) for c in "abcd")
+    made_up = quality.by_worth(rules, {0: 10, 1: 100, 2: 3, 3: 0}, {0: 1.0, 1: 50.0, 2: 0.1, 3: 0.001})
+    assert [r.name for r in made_up] == ["c", "a", "b", "d"]
     order = quality.ordered(spark.read.parquet(f"{sf}/documents.parquet"))
     assert sorted(r.name for r in order) == sorted(r.name for r in quality.RULES)
 
 
+def test_rejected_texts_are_not_looked_at_again():
+    texts = pa.array(["short"] * 30 + [_text(random.Random(i), 40) for i in range(10)])
+    own = quality.Texts(texts)
+    kept = quality.passes(own, quality.RULES)
+    assert kept.tolist() == [False] * 30 + [True] * 10
+    assert own.evaluated["n_words"] == own.evaluated["hashes"] == 40  # the first rule sees all, the words are hashed once
+    assert all(own.evaluated[f] == 10 for f in ("n_repeat_words", "n_symbols", "n_shouts", "n_upper", "lines", "n_stutters", "word_chars"))
+    report, failed, again = quality.judged(texts, quality.RULES, quality.RULES[::-1])
+    assert again.tolist() == kept.tolist() and failed.tolist() == [True] * 30 + [False] * 10
+    assert report.evaluated["hashes"] == report.evaluated["n_words"] == 40 and report.evaluated["n_shouts"] == report.evaluated["n_upper"] == 10
+
+
 # --- URLs --------------------------------------------------------------------------------------------------------------------
 
 
