@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 import os
-import re
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 LIMIT = 512
 #: Distinct pieces whose counts a worker keeps; then it starts anew.
 KEPT_PIECES = 400_000
+#: Pairs of tokens of which it keeps if one can follow the other.
+KEPT_PAIRS = 400_000
+#: The rank of what is not merged.
+NEVER = 1 << 60
 
 #: White space as the library's pattern takes it.
 _WS = r"\t-\r\x20\x85\xa0  -     　"
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_RARE = re.compile("[^\x00-\u024f]")
 _BLANK = regex.compile(rf"[{_WS}]+")
 
 
@@ -33,13 +36,18 @@ def _byte_chars() -> list[str]:
 
 
 class PrefixCounter:
-    """Counts for one tokenizer file. A text is cut into pieces as the tokenizer cuts it, each distinct piece is counted
-    once by the library, and sums at the ends of pieces with the dynamic programme inside of one give every prefix."""
+    """Token counts at every prefix of a text, for one tokenizer file, by dynamic programming; nothing is encoded.
+
+    A text is cut into pieces as the tokenizer cuts it. For each distinct piece, the programme goes over its bytes and keeps the count at each of its
+    prefixes; the count of a text's prefix is the sum of the last entries of the pieces before, and an entry of the piece that it ends in.
+    """
 
     def __init__(self, path: str):
+        import ahocorasick
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(path)
+        self.cut_by_library = tokenizer.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         model, cut = whole["model"], whole["pre_tokenizer"] or {}
@@ -47,167 +55,242 @@ class PrefixCounter:
             raise ValueError("a byte-level BPE without normalizer or prefix space is needed")
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {p: i for i, p in enumerate(pairs)}
-        self.vocab, self.longest = set(model["vocab"]), max(map(len, model["vocab"]))
-        self.chars = _byte_chars()
+        self.longest = max(map(len, model["vocab"]))
+        self.tokens = ahocorasick.Automaton()
+        for token in model["vocab"]:
+            self.tokens.add_word(token, token)
+        self.tokens.make_automaton()
+        self.chars = {b: c for b, c in enumerate(_byte_chars())}
         special = sorted((t["content"] for t in whole["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.same: dict[str, bool] = {}
-        self.pieces: dict[str, int] = {}
-        self.follows = lru_cache(1 << 16)(self._follows)
-
-    def strange(self, text: str) -> bool:
-        """If a text has a character that the library's pattern and ours class differently (by their Unicode versions); it goes to the library whole.
-
-        Each character beyond the common Latin ones is probed when it is first met.
+        self.met: set[str] = set(map(chr, range(0x250)))
+        self.odd: dict[int, str] = {}
+        self.known: dict[str, bytes | np.ndarray] = {}
+        self.counts: dict[str, int] = {}
+        self.made_of = {a + b: (i, (a, b)) for i, (a, b) in enumerate(pairs)}
+        if len(self.made_of) < len(pairs):
+            raise ValueError("a token that several pairs make is not supported")
+        self.spines: dict[tuple[str, int], tuple[tuple[str, int], ...]] = {}
+        self.sound: dict[str, bool] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def shadow(self, text: str) -> str:
+        """The text with a stand-in of the same class for each character that the library's pattern and ours class differently (by their Unicode versions).
+
+        A character beyond the common Latin ones is looked at when it is first met: which neighbours the library takes it together with.
         """
         if text.isascii():
-            return False
-        for c in set(_RARE.findall(text)):
-            if c not in self.same:
-                probe = f"a{c}1{c}!{c}\n"
-                self.same[c] = [e - s for _, (s, e) in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)] == [len(x) for x in _PIECE.findall(probe)]
-            if not self.same[c]:
-                return True
-        return False
-
-    def _library(self, texts: list[str]) -> list[int]:
-        return [len(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return text
+        met = set(text)
+        for c in met - self.met:
+            own = [len(x) for x in _PIECE.findall(f"a{c}1{c}!{c}\n")]
+            theirs = [e - s for _, (s, e) in self.cut_by_library(f"a{c}1{c}!{c}\n")]
+            if own != theirs:
+                joined = {kind: len(self.cut_by_library(f"{kind}{c}")) == 1 for kind in "a1!"}
+                self.odd[ord(c)] = next((_STAND_IN[k] for k, one in joined.items() if one), _STAND_IN[" "])
+        self.met |= met
+        return text.translate(self.odd) if not self.odd.keys().isdisjoint(map(ord, met)) else text
+
+    def cut(self, part: str) -> list[str]:
+        """The pieces of a text without special strings."""
+        shown = self.shadow(part)
+        found = _PIECE.findall(shown)
+        if shown is part:
+            return found
+        out, at = [], 0
+        for piece in found:
+            out.append(part[at : at + len(piece)])
+            at += len(piece)
+        return out
+
+    def learn(self, pieces: list[str]) -> None:
+        new = set(pieces).difference(self.counts)
+        if len(self.counts) + len(new) > KEPT_PIECES:
+            self.counts, self.known = {}, {}
+            new = set(pieces)
+        for piece in new:
+            self.known[piece] = inside = self._inside(piece)
+            self.counts[piece] = int(inside[-1])
 
     def piece_counts(self, pieces: list[str]) -> np.ndarray:
-        known = self.pieces
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if new:
-            if len(known) + len(new) > KEPT_PIECES:
-                known = self.pieces = {}
-                new = list(dict.fromkeys(pieces))
-            known.update(zip(new, self._library(new), strict=True))
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        """The last entries of the pieces."""
+        try:
+            return np.fromiter(map(self.counts.__getitem__, pieces), np.int64, len(pieces))
+        except KeyError:
+            self.learn(pieces)
+            return np.fromiter(map(self.counts.__getitem__, pieces), np.int64, len(pieces))
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
-        """The text cut at special strings, (part, is special)."""
+        """The text cut at special strings, (part, is special). A long part is cut in front of single blanks, where pieces end in any case."""
         at = 0
         for m in self.special.finditer(text) if self.special else ():
-            if m.start() > at:
-                yield text[at : m.start()], False
+            yield from ((part, False) for part in _runs(text, at, m.start()))
             yield m[0], True
             at = m.end()
-        if at < len(text):
-            yield text[at:], False
-
-    def pieces_of(self, text: str) -> tuple[list[str], np.ndarray]:
-        """The pieces of a text and the count of each."""
-        pieces: list[str] = []
-        special: list[int] = []
-        for part, is_special in self.segments(text):
-            if is_special:
-                special.append(len(pieces))
-                pieces.append(part)
-            else:
-                pieces += _PIECE.findall(part)
-        counts = self.piece_counts(pieces)  # the library gives 1 for a special string
-        return pieces, counts
+        yield from ((part, False) for part in _runs(text, at, len(text)))
 
     def count(self, text: str) -> int:
-        if self.strange(text):
-            return self._library([text])[0]
-        return int(self.pieces_of(text)[1].sum())
-
-    def _merged(self, parts: list[str]) -> list[str]:
-        parts = list(parts)
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)))
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def _follows(self, before: str, token: str) -> bool:
-        return self._merged(list(before + token)) == [before, token] if before else self._merged(list(token)) == [token]
+        return self.count_and_cut(text, 1 << 62)[0]
+
+    def _spine(self, token: str, side: int) -> tuple[tuple[str, int], ...]:
+        """What stands at an end of the token while its merges are done, the token itself first: (part, the rank at which it is merged into more)."""
+        key = (token, side)
+        if key not in self.spines:
+            out, rank = [], NEVER
+            while True:
+                out.append((token, rank))
+                if token not in self.made_of:
+                    break
+                rank, pair = self.made_of[token]
+                token = pair[side]
+            self.spines[key] = tuple(out)
+        return self.spines[key]
 
-    def inside(self, piece: str) -> np.ndarray:
-        """Tokens of each prefix of a piece taken as one piece, by code points, 0 first.
+    def _apart(self, left: str, right: str, joined: int = NEVER) -> bool:
+        """If no merge across the border of two tokens comes before those that they are made by, apart from the one of rank `joined`.
 
-        The last token of a prefix's encoding is the one token that ends it and can follow the encoding of what is before.
+        Until a first merge across it, both sides merge as they do alone. Of equal ranks the leftmost comes first.
+        """
+        ranks, ends = self.ranks, self._spine(right, 0)
+        for x, x_until in self._spine(left, 1):
+            for y, y_until in ends:
+                rank = ranks.get((x, y), NEVER)
+                if rank < x_until and rank <= y_until and rank != NEVER and not (rank == joined and x == left and y == right):
+                    return False
+        return True
+
+    def _sound(self, token: str) -> bool:
+        """If the token's own text is encoded as that token."""
+        known = self.sound.get(token)
+        if known is None:
+            made = self.made_of.get(token)
+            known = made is None or (self._sound(made[1][0]) and self._sound(made[1][1]) and self._apart(*made[1], made[0]))
+            self.sound[token] = known
+        return known
+
+    def _inside(self, piece: str) -> bytes | np.ndarray:
+        """Tokens of each prefix of a piece taken as one piece, by code points, 1 first.
+
+        The last token of a prefix's encoding is the one token that ends it and can follow the last token of what is before.
         """
         raw = piece.encode("utf-8", "surrogatepass")
-        chars = "".join(self.chars[b] for b in raw)
-        count, last = [0] * (len(chars) + 1), [""] * (len(chars) + 1)
-        for i in range(1, len(chars) + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = chars[j:i]
-                if token in self.vocab and (j == 0 or last[j]) and self.follows(last[j], token):
-                    count[i], last[i] = count[j] + 1, token
-                    break
-        ends = [0, *(i for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80), len(raw)] if raw else [0]
-        return np.array([count[i] for i in ends])
+        n, m, met = len(raw), self.longest + 1, self.pairs
+        count, last = ([0] * (n + 1) if n < 256 else array("I", bytes(4 * n + 4))), [""] * min(n + 1, m)
+        m = len(last)
+        if len(met) > KEPT_PAIRS:
+            met.clear()
+        for end, token in self.tokens.iter(raw.decode("latin-1").translate(self.chars)):
+            i = end + 1
+            if count[i]:
+                continue
+            j = i - len(token)
+            if j:
+                pair = (last[j % m], token)
+                fits = met.get(pair)
+                if fits is None:
+                    fits = met[pair] = self._sound(token) and self._apart(*pair)
+            else:
+                fits = self._sound(token)
+            if fits:
+                count[i] = count[j] + 1
+                last[i % m] = token
+        if n < 256:
+            return bytes(count[1:]) if n == len(piece) else bytes([count[i] for i in range(1, n + 1) if i == n or raw[i] & 0xC0 != 0x80])
+        ends = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[1:]
+        return np.array(count)[np.append(ends, n)]
+
+    def inside(self, piece: str) -> np.ndarray:
+        """Tokens of each prefix of a piece taken as one piece, by code points, 0 first."""
+        if piece not in self.known:
+            self.learn([piece])
+        own = self.known[piece]
+        return np.concatenate(([0], np.frombuffer(own, np.uint8) if isinstance(own, bytes) else own)).astype(np.int64)
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """n + 1 numbers: the tokens of text[:i] for each i."""
-        if self.strange(text):
-            return np.array([0, *self._library([text[:i] for i in range(1, len(text) + 1)])])
         out, base = [0], 0
         done = 0  # code points before the segment
-        start = 0  # of the segment before a special string
+        start, start_base = 0, 0  # of the segment before a special string, and the count there
+        run, run_base = "", 0  # white space that ends here, and the count before it
         for part, is_special in self.segments(text):
             if is_special:
                 # a part of a special string is ordinary text, joined to what is before it
-                out += [int(self._before(text, start)) + self.count_plain(text[start : done + k]) for k in range(1, len(part))]
+                out += [start_base + self.count_plain(text[start : done + k]) for k in range(1, len(part))]
                 base += 1
                 out.append(base)
                 done += len(part)
-                start = done
+                start, start_base, run = done, base, ""
                 continue
-            run, run_base = "", base  # white space that ends here, and the count before it
-            for piece, n in zip(found := _PIECE.findall(part), self.piece_counts(found), strict=True):
+            for piece, n in zip(found := self.cut(part), self.piece_counts(found), strict=True):
                 inner = self.inside(piece)[1:] + base
                 if len(piece) == 3 and piece[0] == "'" and piece in ("'re", "'ve", "'ll"):
                     inner[1] = base + sum(self.piece_counts(["'", piece[1]]))
-                if run and _BLANK.match(piece):
-                    blank = _BLANK.match(piece)[0]
-                    inner[: len(blank)] = self.inside(run + blank)[1 + len(run) :] + run_base
+                blank = self._blank(piece)
+                if run and blank:
+                    inner[:blank] = self.inside(run + piece[:blank])[1 + len(run) :] + run_base
                 out += inner.tolist()
                 base += int(n)
-                out[-1] = base if not _BLANK.fullmatch(piece) else out[-1]
-                if _BLANK.fullmatch(piece):
+                if blank == len(piece):
                     run_base = run_base if run else base - int(n)
                     run += piece
                 else:
+                    out[-1] = base
                     run = ""
             done += len(part)
         return np.array(out)
 
-    def _before(self, text: str, start: int) -> int:
-        return self.count(text[:start]) if start else 0
+    def _blank(self, piece: str) -> int:
+        """How many blanks a piece begins with."""
+        m = _BLANK.match(self.shadow(piece))
+        return m.end() if m else 0
 
     def count_plain(self, part: str) -> int:
-        return int(self.piece_counts(_PIECE.findall(part)).sum())
+        return int(self.piece_counts(self.cut(part)).sum())
 
     def count_and_cut(self, text: str, budget: int) -> tuple[int, int]:
         """The tokens of a text, and the most code points from its start that take no more than budget tokens."""
-        if self.strange(text):
-            total = self._library([text])[0]
-            return total, len(text) if total <= budget else self._cut_strange(text, budget)
-        pieces, counts = self.pieces_of(text)
-        sums = np.cumsum(counts)
-        total = int(sums[-1]) if len(sums) else 0
-        if total <= budget:
-            return total, len(text)
-        # whole pieces before the first that goes over, and those behind it, as white space may join
-        k = int(np.searchsorted(sums, budget, side="right"))
-        start = max(0, k - 4)
-        while start and (_BLANK.fullmatch(pieces[start - 1]) or _BLANK.match(pieces[start])):
-            start -= 1  # a prefix from here on is cut as it is in the whole text
-        at, base = sum(map(len, pieces[:start])), int(sums[start - 1]) if start else 0
-        near = self.prefix_counts(text[at : at + sum(map(len, pieces[start : k + 3]))]) + base
-        return total, at + int(np.flatnonzero(near <= budget)[-1])
-
-    def _cut_strange(self, text: str, budget: int) -> int:
-        size = min(len(text), 2 * budget)
-        while True:  # the first prefixes beyond the budget end the search: counts stay above it from a few tokens more
-            counts = self._library([text[:i] for i in range(size + 1)])
-            if size == len(text) or counts[-1] > budget + 64:
-                return max(i for i, c in enumerate(counts) if c <= budget)
-            size = min(len(text), 2 * size)
+        total, at, within = 0, 0, None
+        before, before_n = "", None
+        for part, is_special in self.segments(text):
+            pieces = [part] if is_special else self.cut(part)
+            counts = np.ones(1, np.int64) if is_special else self.piece_counts(pieces)
+            own = int(counts.sum())
+            if within is None and total + own > budget:
+                # the pieces before the first that goes over, and those behind it, as white space may join
+                k = int(np.searchsorted(np.cumsum(counts), budget - total, side="right"))
+                start = max(0, k - 4)
+                while start and (self._blank(pieces[start - 1]) == len(pieces[start - 1]) or self._blank(pieces[start])):
+                    start -= 1  # a prefix from here on is cut as it is in the whole text
+                begin = at + sum(map(len, pieces[:start]))
+                base = total + int(counts[:start].sum())
+                # a part of a special string is ordinary text, joined to the text before it
+                begin, base = (at - len(before), total - before_n) if is_special and before_n is not None else (begin, base)
+                end = at + sum(map(len, pieces[: k + 3]))
+                end += max((m.end() for m in islice(_PIECE.finditer(self.shadow(text[end : end + 4096])), max(0, k + 3 - len(pieces)))), default=0)
+                near = self.prefix_counts(text[begin:end]) + base
+                within = begin + int(np.flatnonzero(near <= budget)[-1])
+            before, before_n = part, None if is_special else own
+            total += own
+            at += len(part)
+        return total, len(text) if within is None else within
+
+
+#: Code points of a text that are cut into pieces at once, if there are blanks.
+RUN_CHARS = 1 << 18
+_SAFE_CUT = regex.compile(rf"(?<=[^{_WS}]) (?=[^{_WS}])")
+#: A letter, a number, another character and white space, which the library and the pattern here class alike.
+_STAND_IN = {"a": "\u00aa", "1": "\u00b2", "!": "\u00a1", " ": "\u00a0"}
+
+
+def _runs(text: str, at: int, end: int) -> Iterator[str]:
+    while end - at > RUN_CHARS:
+        m = _SAFE_CUT.search(text, at + RUN_CHARS, end)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    if at < end:
+        yield text[at:end]
 
 
 _counters: dict[str, PrefixCounter] = {}

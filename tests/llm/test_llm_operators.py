@@ -6,7 +6,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -14,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import common, components, fingerprints, html_text, licenses, minhash, mixing, packing, quality, queries, sharding, tokens, urls
+from tessera.llm import common, components, fingerprints, html_text, licenses, minhash, mixing, packing, quality, queries, sharding, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: An extra column for every name that the operators use inside.
@@ -301,34 +300,6 @@ def test_any_markup_is_parsed(html):
     assert "  " not in text and text == text.strip()
 
 
-# --- tokens ----------------------------------------------------------------------------------------------------------
-
-_PIECES = ["a", "the", "'re", "'ll", "'s", "'", "!", " ", "  ", "\n", "\n\n", "\t", "1", "23", "é", "ß", "<|endoftext|>", "<|", "日本", "　", "x", "ing", " of", "\U0001f600", "ᲀ", "\x1c", "\x85"]
-
-
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(_PIECES), max_size=20))
-def test_counts_at_every_prefix(parts):
-    text = "".join(parts)
-    own = tokens.counter(public_tokenizers.path("byte_bpe_50k.json"))
-    want = [len(own.tokenizer.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
-    assert own.prefix_counts(text).tolist() == want and own.count(text) == want[-1]
-    for budget in (0, 1, 4, 9):
-        assert own.count_and_cut(text, budget) == (want[-1], max(i for i, c in enumerate(want) if c <= budget))
-
-
-def test_token_counts(clashing, empty):
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    library = tokens.counter(path).tokenizer
-    rows = {r.doc_id: r for r in tokens.token_counts(clashing, path, 512).collect()}
-    for d in clashing.where("doc_id is not null").collect():
-        n = len(library.encode(d.text or "", add_special_tokens=False).ids)
-        assert rows[d.doc_id].n_tokens == n and rows[d.doc_id].over_limit == (n > 512) and rows[d.doc_id].n_bytes == len((d.text or "").encode())
-        within = rows[d.doc_id].n_chars_within
-        assert len(library.encode((d.text or "")[:within], add_special_tokens=False).ids) <= 512
-    assert tokens.token_counts(empty, path).count() == 0
-
-
 # --- licences ---------------------------------------------------------------------------------------------------------
 
 
