@@ -8,8 +8,9 @@ have signatures beyond it with probability 1.3e-6, and of more with less. What m
 
 Copies never become pairs of rows. Equal sets are one class. Under each key the classes are first held against the
 least one (a star, so at most one pair for each entry), the confirmed pairs give components, and only keys
-that still hold several components are looked at again: in small ones, what is in different components is
-paired, if the signatures allow it; in large ones, rows outside the largest component are held against all
+that still hold several components are looked at again. In large ones, rows outside the largest component are held against
+another of its rows, STARS times (again a pair for each entry); where that joins all, the key is done. Of what is
+left, rows of small keys that are in different components are paired, if the signatures allow it; in large keys, rows outside the largest component are held against all
 rows in blocks of bounded size, and one link to each component is enough. No cap drops anything.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ CHUNKS, WIDTH = 13, 4
 MAX_DISTANCE = 2 * CHUNKS - 1
 #: Keys of more rows are compared in blocks.
 SMALL_KEY = 64
+#: Further stars in large keys, each from another row of the largest component.
+STARS = 2
 #: Shingles in each side of a block: 8 MB.
 BLOCK_SHINGLES = 1_000_000
 
@@ -128,8 +132,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets resemble each other enough."""
+def confirm(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), no more than n_pairs, whose full sets resemble each other enough."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = sets.join(broadcast_if_small(ends, 2 * n_pairs), "rep", "left_semi")  # only what is asked for is shuffled
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +188,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     A-Z count as a-z. component_id is the smallest doc_id that links reach; kept marks that document. Documents
     without words (or null text) have an empty set and stand alone. Rows of one doc_id are one document (the
     set of least key counts if they differ). Rows without doc_id are not linked: component_id is null, and
-    they are kept. Other columns don't matter. percent must be 80 or more for the recall given above.
+    they are kept. Other columns don't matter. percent must be 80 or more for the recall given above. A text of n words takes up to 24 n
+    bytes at a time beside its own, so one of 100 MB some 600 MB.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
@@ -204,29 +211,51 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     stars = ws.put(allowed(stars), "stars", n_hits)
     ids = ws.put(stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids", n_docs)
     sets = sets_of(docs, ids, ws, "sets", shingle, id_col, text_col)
-    links = ws.put(gathered(confirm(stars, sets, percent), stars.count()), "links")
+    n_stars = stars.count()
+    links = ws.put(gathered(confirm(stars, n_stars, sets, percent), n_stars), "links")
     ws.drop("sets", "ids")
     first = ws.put(connected_components(links, ws, rows=n_hits), "first", n_docs)
+    of = first.select(F.col("node").alias("rep"), "component")
+
+    def open_keys(entries: DataFrame, name: str) -> DataFrame:
+        """The entries (key, rep, rows, comp) of keys that hold several components."""
+        mixed_keys = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        return ws.put(entries.join(mixed_keys, "key"), name, n_hits)
+
+    def between(pairs: DataFrame) -> DataFrame:
+        """The components that links are between."""
+        return pairs.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
 
-    entries = hits.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "rows", F.coalesce("component", "rep").alias("comp"))
-    entries = ws.put(entries, "entries", n_hits)
+    entries = ws.put(hits.join(of, "rep", "left").select("key", "rep", "rows", F.coalesce("component", "rep").alias("comp")), "entries", n_hits)
     ws.drop("hits")
-    mixed_keys = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = ws.put(entries.join(mixed_keys, "key"), "left", n_hits)
+    left = open_keys(entries, "left_0")
+    ids = ws.put(left.select("rep").distinct(), "ids2", n_docs)
+    sets = sets_of(docs, ids, ws, "sets2", shingle, id_col, text_col)
+    found = []
+    for step in range(1, STARS + 1):
+        large = left.where(F.col("rows") > SMALL_KEY)
+        if large.isEmpty():
+            break
+        largest = large.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64(F.lit(step), "rep").alias("h"), F.col("rep").alias("rep"))).alias("one"))
+        largest = largest.groupBy("key").agg(F.max(F.struct("rows", "comp", F.col("one.rep").alias("leader"))).alias("m")).select("key", F.col("m.comp").alias("main"), "m.leader")
+        pairs = large.join(largest, "key").where("comp <> main").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+        pairs = ws.put(allowed(pairs).join(stars, ["a", "b"], "left_anti"), f"tried_{step}", n_hits)
+        n_pairs = pairs.count()
+        found.append(ws.put(gathered(confirm(pairs, n_pairs, sets, percent), n_pairs), f"found_{step}"))
+        joined = connected_components(reduce(DataFrame.unionByName, map(between, found)), ws, rows=n_hits)
+        joined = ws.put(joined.select(F.col("node").alias("was"), "component"), f"joined_{step}", n_docs)
+        again = entries.join(left.select("key").distinct(), "key", "left_semi").join(joined, F.col("comp") == F.col("was"), "left")
+        left = open_keys(again.select("key", "rep", "rows", F.coalesce("component", "comp").alias("comp")), f"left_{step}")
     few = left.where(F.col("rows") <= SMALL_KEY).select("key", "rep", "comp")
     x, y = few.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), few.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
     rest = allowed(x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct())
     rest = ws.put(rest.join(stars, ["a", "b"], "left_anti"), "rest", n_hits)
     large = ws.put(left.where(F.col("rows") > SMALL_KEY).join(reps.select("rep", "n"), "rep").select("key", "rep", "comp", "n"), "large", n_hits)
-    ids = ws.put(rest.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct(), "ids2", n_docs)
-    sets = sets_of(docs, ids, ws, "sets2", shingle, id_col, text_col)
     # heavy to find, small to write: each in as many tasks as its sets and blocks fill, then in few files
-    more = ws.put(gathered(confirm(rest, sets, percent).unionByName(_blocks(large, sets, percent)), rest.count() + large.count()), "more")
-    ws.drop("sets2", "ids2", "left", "entries")
-    of = first.select(F.col("node").alias("rep"), "component")
-    ends = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    second = ws.put(connected_components(ends, ws, rows=n_hits), "second", n_docs)
-    ws.drop("stars", "links", "rest", "large", "more")
+    n_rest, n_large = rest.count(), large.count()
+    found.append(ws.put(gathered(confirm(rest, n_rest, sets, percent).unionByName(_blocks(large, sets, percent)), n_rest + n_large), "found"))
+    ws.drop("sets2", "ids2", "entries")
+    second = ws.put(connected_components(reduce(DataFrame.unionByName, map(between, found)), ws, rows=n_hits), "second", n_docs)
 
     labels = reps.select("k1", "k2", "rep").join(of, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c1"))
     labels = labels.join(second.toDF("c1", "c2"), "c1", "left").select("k1", "k2", F.coalesce("c2", "c1").alias("component"))
@@ -237,7 +266,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose document is kept by near_duplicates(); same columns.
+    """The rows of docs whose document is kept by near_duplicates(), on shingles of five words; same columns.
 
     Of several rows of one doc_id the one of the least text stays. Rows without doc_id stay.
     """
