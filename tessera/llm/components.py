@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 
-def connected_components(edges: DataFrame, ws: Workspace, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
-    """(node long, component long): each node of an edge with the smallest node that it reaches.
+def connected_components(edges: DataFrame, ws: Workspace, a: str = "a", b: str = "b", rows: int | None = None, kind: str = "long") -> DataFrame:
+    """(node, component), both of type `kind` (long or string): each node of an edge with the smallest node that it reaches.
 
     Randomised contraction: in each round every node moves to its neighbour (or itself) of least hash, the edges
     are rewritten to those, and loops and repeats go; the hash changes with the round, so that no order of
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, ws: Workspace, a: str = "a", b: str =
     edges with a null end are ignored, an empty table gives an empty one. rows: how many edges there are at most, if known.
     """
     live = ws.put(
-        edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null").distinct(),
+        edges.select(F.col(a).cast(kind).alias("a"), F.col(b).cast(kind).alias("b")).where("a is not null and b is not null").distinct(),
         "cc_edges_0",
         rows,
     )

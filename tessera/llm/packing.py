@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, broadcast_if_small
 from .minhash import near_duplicates
-from .mixing import n_words
+from .mixing import n_words, numbered
 
 CAPACITY = 4096
 #: Pieces of one source in a bin at most.
@@ -138,7 +138,7 @@ def packed(
     equal texts; near: what near_copies() gives, for which equal texts become texts that links reach. A document longer than a bin is cut: its whole pieces fill bins of their own, the rest is packed like a
     document, so nothing is dropped. Rows are dealt to groups of about group_rows by a hash that takes in doc_id, so a hot source or
     cluster spreads evenly; each group is packed by best fit, and bin_id is unique over all groups. Documents without words
-    take no part. Repeated rows are packed each (as one cluster); null sources are one source, null ids and other columns don't matter.
+    take no part. Repeated rows are packed each (as one cluster, and over all groups); null sources are one source, null ids and other columns don't matter.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -147,7 +147,10 @@ def packed(
         (_text_hash() if cluster is None else F.xxhash64(cluster)).alias("cluster"),
     ).where("whole > 0")
     groups = max(1, -(-docs.count() // group_rows))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "source", "whole", "cluster"), F.lit(groups)))
+    ws = Workspace(docs.sparkSession, "pack")
+    counted = ws.put(rows.groupBy("doc_id", "source", "whole", "cluster").agg(F.count("*").alias("n")), "rows")
+    rows = numbered(counted, counted.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "source", "whole", "cluster", "k"), F.lit(groups))).drop("k")
     if near is not None:
         rows = rows.join(broadcast_if_small(near, near.count()), "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).drop("component")
 

@@ -55,7 +55,7 @@ def place(df: DataFrame, shards: list[str], key_col: str, slots: int = SLOTS) ->
     """df's key column with (slot, shard): a lookup in the table, which is broadcast.
 
     No shuffle: each row is placed where it is. Equal keys get equal shards, null keys that of the empty key; other
-    columns don't matter.
+    columns don't matter. A key of any length counts by its md5.
     """
     keyed = df.select(F.col(key_col), slot_of(F.col(key_col), slots).alias("__slot"))
     owners = F.broadcast(_owners(df.sparkSession, shards, slots).withColumnRenamed("shard", "__shard"))

@@ -34,11 +34,12 @@ def _rule_name(host: str, path: str) -> str:
 def matched(urls: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFrame:
     """urls (with host and path) and the longest rule that fits, as (rule, ruled); null if none does.
 
-    A rule fits its host and all hosts below it, where the path starts with its path. Of rules equally long the allowing one counts.
+    A rule fits its host and all hosts below it, where the path starts with its path. Of rules equally long the allowing one counts, and of several of these
+    the one of the greatest host, then path.
     """
     if len(rules) <= INLINE_RULES:
         rule, ruled = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for verdict, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "allow", r)):
+        for verdict, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "allow", r[1], r[2])):
             fits = ((F.col("host") == host) | F.endswith(F.col("host"), F.lit("." + host))) & F.startswith(F.col("path"), F.lit(path))
             rule, ruled = F.when(fits, _rule_name(host, path)).otherwise(rule), F.when(fits, verdict).otherwise(ruled)
         return urls.withColumn("rule", rule).withColumn("ruled", ruled)
@@ -46,14 +47,14 @@ def matched(urls: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFra
     parts = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     pairs = urls.select("host", "path").distinct().withColumn("rule_host", F.explode(above)).join(table, "rule_host").where(F.startswith("path", "rule_path"))
-    rank = F.struct(F.length(F.concat("rule_host", "rule_path")).alias("n"), (F.col("ruled") == "allow").alias("allow"), F.concat("rule_host", "rule_path").alias("rule"), "ruled")
-    best = pairs.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", "best.rule", "best.ruled")
+    rank = F.struct(F.length(F.concat("rule_host", "rule_path")).alias("n"), (F.col("ruled") == "allow").alias("allow"), "rule_host", "rule_path", "ruled")
+    best = pairs.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", F.concat("best.rule_host", "best.rule_path").alias("rule"), "best.ruled")
     return urls.join(best, ["host", "path"], "left")
 
 
 def _node(host: Column, url: Column) -> Column:
-    """A number for a URL: its host, path and query, whatever its scheme and fragment."""
-    return F.xxhash64(host, F.regexp_extract(url, r"://[^/?#]*([^#]*)", 1))
+    """128 bits for a URL: its host, path and query, whatever its scheme and fragment."""
+    return F.md5(F.concat(host, F.lit(" "), F.regexp_extract(url, r"://[^/?#]*([^#]*)", 1)))
 
 
 def _absolute(link: Column, url: Column, host: Column) -> Column:
@@ -81,7 +82,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, red
     The longest rule that fits decides. A URL that no rule fits shares the fate of its aliases, the component of
     canonical links, refreshes and `redirects` (src, dst: URLs): allow if a rule allows one of them, else block if a rule
     blocks one, else allow. Nothing is gathered on the driver. Null URLs have empty host and path, no rule
-    and no aliases; repeated rows are judged each; null html has no links.
+    and no aliases; repeated rows are judged each; null html has no links. URLs of any length are told apart by 128 bits of their host, path and query.
     """
     ws = Workspace(pages.sparkSession, "urls")
     own = page_links(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
@@ -95,11 +96,11 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, red
         links = links.unionByName(extra.select(_node(host_of(F.col("src")), F.col("src")).alias("node"), "url")).unionByName(ends.select(_node(host_of(F.col("url")), F.col("url")).alias("node"), "url"))
     links = links.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).where("host <> '' and node is not null")
     links = ws.put(matched(links, rules).withColumn("target", _node(F.col("host"), F.col("url"))), "links")
-    components = ws.put(connected_components(links, ws, "node", "target"), "components")
+    components = ws.put(connected_components(links, ws, "node", "target", kind="string"), "components")
     said = links.select(F.col("target").alias("node"), "ruled").unionByName(own.select("node", "ruled")).where("ruled is not null")
     fate = said.join(components, "node").groupBy("component").agg(F.min("ruled").alias("fate"))  # allow comes before block
     fate = components.join(fate, "component").select("node", "fate")
-    return own.join(fate, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "fate", F.lit("allow")).alias("verdict"))
+    return ws.finish(own.join(fate, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "fate", F.lit("allow")).alias("verdict")), own.count())
 
 
 def allowed(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
