@@ -14,7 +14,7 @@ from tessera.operators import chunks as chunk_ops
 from tessera.operators import dense, documents, extract, fusion, lexical, navigation, reconcile
 from tessera.settings import Settings
 from tessera.sources import pdf, scan
-from tessera.sources.snapshot import SnapshotStore
+from tessera.sources.snapshot import SCHEMA_VERSION, SnapshotStore
 
 MODES = ("auto", "code", "hybrid", "semantic", "keyword", "symbol")
 
@@ -34,7 +34,12 @@ class Engine:
         """Brings the index up to date: all of it, or the asked paths. Unchanged documents keep their rows, and texts that were embedded before keep their vectors."""
         began = time.time()
         with self.store.writing(self.settings.fingerprint()):
-            old = {} if force else self.store.tables()
+            current = self.store.current()
+            # an index of other settings is built anew
+            same = current and current["fingerprint"] == self.settings.fingerprint() and current["schema_version"] == SCHEMA_VERSION and current["buckets"] == self.store.buckets
+            old = self.store.tables() if same and not force else {}
+            if paths and current and not old and not force:
+                paths = None  # asked paths alone would leave the rest in the old form
             files = scan.list_files(self.spark, self.roots, self.settings)
             targets = scan.resolve_targets(self.roots, paths, self.settings) if paths else None
             if targets:
@@ -57,9 +62,12 @@ class Engine:
             pdfs, pdf_made = self._pdf_chunks(files_to_read)
             if pdfs is not None:
                 changed, made = changed.drop("text").unionByName(pdfs).withColumn("text", F.lit("")), made.unionByName(pdf_made)
+            found, made = found.persist(), made.persist()  # each is read for several tables
             known = reconcile.vector_cache(old["chunks"], old["vectors"]) if old else None
-            vectors = dense.embed_once(made.select(F.col("id").alias("chunk_id"), "embedding_hash", "embedding_text"), known.select("embedding_hash", "vector") if known is not None else None, self.embed, self.dim)
-            new = {"docs": changed.drop("text"), "chunks": made.drop("embedding_text"), "symbols": found, "refs": refs, "vectors": vectors.select("chunk_id", "vector")}
+            vectors = dense.embed_once(made.select(F.col("id").alias("chunk_id"), "doc_id", "embedding_hash", "embedding_text"), known.select("embedding_hash", "vector") if known is not None else None, self.embed, self.dim)
+            new = {"docs": changed.drop("text"), "chunks": made.drop("embedding_text"), "symbols": found, "refs": refs, "vectors": vectors.select("chunk_id", "doc_id", "vector")}
+            new |= index_tables(new["chunks"], found)
+            buckets = None
             if old:
                 live = files.select(F.col("root"), F.col("path"))
                 if targets:
@@ -67,12 +75,16 @@ class Engine:
                     gone = old["docs"].join(self.spark.createDataFrame(root_of, "root string, path string"), ["root", "path"], "left_semi").select("doc_id") if root_of else old["docs"].select("doc_id").limit(0)
                 else:
                     gone = old["docs"].join(live, ["root", "path"], "left_anti").select("doc_id")
-                kept = reconcile.delete_docs(old, gone.unionByName(changed.select("doc_id")))
-                if touched is not None:
-                    kept["docs"] = reconcile.touch(kept["docs"], touched, ["mtime_ns", "size_bytes"])
+                gone = gone.unionByName(changed.select("doc_id")).persist()
+                # only the buckets of documents that go, come or were touched are read and written
+                buckets = self.store.buckets_of(gone.unionByName(touched.select("doc_id")))
+                kept = reconcile.delete_docs(self.store.tables(buckets=buckets), gone)
+                kept["docs"] = reconcile.touch(kept["docs"], touched, ["mtime_ns", "size_bytes"])
                 new = {name: kept[name].unionByName(df) for name, df in new.items()}
-            version = self.store.publish(new, self.settings.fingerprint())
-            docs.unpersist()
+            version = self.store.version() if buckets == [] else self.store.publish(new, self.settings.fingerprint(), buckets)
+            self.store.drop_old()
+            for held in (docs, found, made):
+                held.unpersist()
         self._cache.clear()
         counts = reconcile.statistics(self.store.tables(version)).first().asDict()
         return {"ok": True, "version": version, "seconds": round(time.time() - began, 3)} | counts
@@ -96,6 +108,18 @@ class Engine:
     def _tables(self) -> dict[str, DataFrame]:
         return self.store.tables(self.store.check())
 
+    def _index(self, tables: dict[str, DataFrame], of: str) -> tuple[DataFrame, DataFrame]:
+        """The postings of chunks or symbols, and their statistics."""
+        return tables[f"{of}_postings"], lexical.statistics(tables[f"{of}_sizes"])
+
+    def optimise(self) -> dict:
+        """All tables in sorted files of good size; older snapshots go."""
+        with self.store.writing(self.settings.fingerprint()):
+            version = self.store.optimise()
+            self.store.drop_old(1)
+        self._cache.clear()
+        return {"ok": True, "version": version}
+
     def query_vector(self, query: str) -> list[float]:
         v = self.embed([query])[0]
         n = max(float((v * v).sum()) ** 0.5, 1e-12)
@@ -111,7 +135,7 @@ class Engine:
         lists: dict[str, DataFrame] = {}
         exact = False
         if mode in ("code", "hybrid", "symbol"):
-            hits = navigation.symbol_tiers(t["symbols"], query, s.candidate_k, under)
+            hits = navigation.symbol_tiers(t["symbols"], query, s.candidate_k, under, index=self._index(t, "symbol"))
             best = hits.limit(1).collect()
             exact = s.exact_symbol_fast_path and bool(best) and best[0]["score"] >= navigation.EXACT and bool(re.match(navigation.IDENTIFIER, query.strip()))
             lists["symbol"] = navigation.chunks_for_symbols(t["chunks"], hits)
@@ -122,8 +146,8 @@ class Engine:
             vectors = t["vectors"] if not s.strict_prefix or not prefix else t["vectors"].join(t["chunks"].where(under).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
             lists["dense"] = dense.dense_topk(vectors, self.query_vector(query), s.candidate_k, "chunk_id", "vector").withColumnRenamed("chunk_id", "id")
         if mode in ("code", "hybrid", "keyword"):
-            rows = t["chunks"].withColumn("title", F.element_at(F.split("path", "/"), -1))
-            lists["fts"] = lexical.top(lexical.bm25(rows, "id", navigation.CHUNK_WEIGHTS, query_phrases(query), under), "id", s.candidate_k)
+            hits = lexical.bm25_from_postings(*self._index(t, "chunk"), "id", query_phrases(query), navigation.CHUNK_WEIGHTS, t["chunks"].where(under) if prefix else None)
+            lists["fts"] = lexical.top(hits, "id", s.candidate_k)
         weights = {"symbol": s.symbol_weight, "path": s.path_weight, "dense": s.dense_weight, "fts": s.fts_weight}
         fused = fusion.fuse(lists, weights, "id", k, s.rrf_k, {"symbol": s.symbol_bonus})
         return navigation.packed_hits(fused.select("id", "score"), t["chunks"], include_text, s.snippet_chars)
@@ -140,9 +164,8 @@ class Engine:
     def document_search(self, query: str, top_k: int | None = None, mode: str = "hybrid", prefix: str | None = None, include_text: bool = False, postfilter: bool = False) -> DataFrame:
         """The best chunks of PDF documents."""
         t = self._tables()
-        held = t["chunks"].withColumn("title", F.element_at(F.split("path", "/"), -1))
         vector = self.query_vector(query) if mode != "keyword" else []
-        hits = documents.document_search(t["docs"], held, t["vectors"], query, vector, top_k, mode, prefix, settings=self.settings, postfilter=postfilter)
+        hits = documents.document_search(t["docs"], t["chunks"], t["vectors"], query, vector, top_k, mode, prefix, settings=self.settings, postfilter=postfilter, index=self._index(t, "chunk"))
         return navigation.packed_hits(hits.select("id", "score"), t["chunks"], include_text, self.settings.snippet_chars)
 
     def document_outline(self, path_or_id: str, limit: int = 500) -> list[dict]:
@@ -155,13 +178,15 @@ class Engine:
     def find_symbol(self, name: str, kind: str | None = None, prefix: str | None = None, limit: int | None = None) -> DataFrame:
         t = self._tables()
         where = path_prefix(F.col("path"), prefix) & (F.col("kind") == kind if kind else F.lit(True))
-        hits = navigation.symbol_tiers(t["symbols"], name, limit or self.settings.default_top_k, where)
+        hits = navigation.symbol_tiers(t["symbols"], name, limit or self.settings.default_top_k, where, index=self._index(t, "symbol"))
         return t["symbols"].join(F.broadcast(hits), "id").withColumn("uri", F.concat(F.lit("symbol://"), F.col("id"))).orderBy(F.col("score").desc(), "line_start", "id")
 
     def mentions(self, name: str, prefix: str | None = None, limit: int | None = None) -> DataFrame:
         """Chunks with the words of a name: what there is when no reference has it."""
-        hits = lexical.bm25(self._tables()["chunks"], "id", {"text": 1.0}, query_phrases(name), path_prefix(F.col("path"), prefix))
-        return navigation.packed_hits(lexical.top(hits, "id", limit or self.settings.reference_limit), self._tables()["chunks"], chars=self.settings.snippet_chars)
+        t = self._tables()
+        scoped = t["chunks"].where(path_prefix(F.col("path"), prefix)) if prefix else None
+        hits = lexical.bm25_from_postings(*self._index(t, "chunk"), "id", query_phrases(name), {"text": 1.0}, scoped)
+        return navigation.packed_hits(lexical.top(hits, "id", limit or self.settings.reference_limit), t["chunks"], chars=self.settings.snippet_chars)
 
     def references(self, name: str, prefix: str | None = None, limit: int | None = None) -> DataFrame:
         n = max(1, min(limit or self.settings.reference_limit, 4 * self.settings.reference_limit))
@@ -208,20 +233,24 @@ class Engine:
         return {"ok": not any(checks.values()), "status": self.status(), "checks": checks}
 
 
+def index_tables(chunks: DataFrame, symbols: DataFrame) -> dict[str, DataFrame]:
+    """The inverted indexes of chunks and symbols, by which all word searches go, and the sizes that their statistics are summed from."""
+    titled = chunks.withColumn("title", F.element_at(F.split("path", "/"), -1))
+    words = lexical.postings(titled, "id", list(navigation.CHUNK_WEIGHTS), ["doc_id"])
+    names = lexical.postings(symbols, "id", [c for c in navigation.SYMBOL_WEIGHTS if c in symbols.columns], ["doc_id"])
+    return {"chunk_postings": words, "symbol_postings": names, "chunk_sizes": lexical.sizes(words, chunks, "doc_id"), "symbol_sizes": lexical.sizes(names, symbols, "doc_id")}
+
+
 def hash_embedder(dim: int):
-    """A deterministic embedding that needs no model: signed counts of hashed character trigrams."""
+    """A deterministic embedding that needs no model: signed counts of hashed character trigrams, with the slots and signs of dense.hash_embedding()."""
 
     def embed(texts: list[str]):
-        import hashlib
-
         import numpy as np
 
         out = np.zeros((len(texts), dim), np.float32)
         for row, text in zip(out, texts, strict=True):
-            padded = f"  {text.lower()}  "
-            for i in range(len(padded) - 2):
-                h = int.from_bytes(hashlib.md5(padded[i : i + 3].encode()).digest()[:8], "big")
-                row[h % dim] += -1.0 if h >> 63 else 1.0
+            slots, sums = dense.trigram_sums(text.lower(), dim)
+            row[slots] = sums
         return out
 
     return embed

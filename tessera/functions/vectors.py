@@ -18,11 +18,3 @@ def normalized(a: Column, least: float = 1e-12) -> Column:
     """Unit length; shorter than `least` counts as that long."""
     length = F.greatest(norm(a), F.lit(least))
     return F.transform(a, lambda x: x.cast("double") / length)
-
-
-def trigram_slots(text: Column, dim: int = 384) -> Column:
-    """(slot, sign) of each character trigram of the text, padded with two blanks on either side, lower case."""
-    padded = F.concat(F.lit("  "), F.lower(F.coalesce(text, F.lit(""))), F.lit("  "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
-    numbers = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"))
-    return F.transform(numbers, lambda h: F.struct((h % dim).cast("int").alias("slot"), F.when(F.shiftright(h, 31) == 1, -1).otherwise(1).alias("sign")))

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import dot, norm
+from tessera.functions.vectors import dot
+from tessera.session import shared_folder
 
 
 #: Scores that a task holds at once, besides the best so far.
@@ -27,15 +26,6 @@ def dense_topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "ve
     return rows.select(F.col(id_col), dot(F.col(vector_col), q).alias("score")).orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one only where none is set, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(where)
-    return f"{where.rstrip('/')}/dense-{uuid.uuid4().hex}"
-
-
 def _nearest(vectors: DataFrame, asked: list, k: int, id_col: str, vector_col: str, query_id: str) -> tuple[DataFrame, Broadcast]:
     """(query_id, id, score) of the k nearest rows of each query in each task, and the broadcast queries."""
     shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in asked]), np.array([r[1] for r in asked], np.float64)))
@@ -71,7 +61,7 @@ def dense_topk_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str
     if len(asked) <= most_queries:
         local, _ = _nearest(vectors, asked, k, id_col, vector_col, query_id)
     else:
-        root, blocks = _shared_folder(spark), -(-queries.count() // most_queries)
+        root, blocks = shared_folder(spark, "dense"), -(-queries.count() // most_queries)
         dealt = queries.withColumn("block", F.pmod(F.xxhash64(query_id, "vector"), F.lit(blocks)).cast("int"))
         dealt.repartition("block").write.partitionBy("block").parquet(f"{root}/asked")
         dealt, written = spark.read.schema(dealt.schema).parquet(f"{root}/asked"), []
@@ -83,8 +73,9 @@ def dense_topk_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str
                 written.append(f"{root}/found_{i}")
                 shared.destroy()
         local = spark.read.schema(f"{query_id} long, {id_col} long, score double").parquet(*written)
-    best = local.groupBy(query_id).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(id_col)))), 1, k).alias("x"))
-    return best.select(query_id, F.posexplode("x").alias("rank", "x")).select(query_id, F.col(f"x.{id_col}"), (-F.col("x.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
+    # the rank is cut to k in each task before the exchange
+    best = Window.partitionBy(query_id).orderBy(F.col("score").desc(), id_col)
+    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_id, id_col, "score", "rank")
 
 
 def dimension_check(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
@@ -97,7 +88,7 @@ TRIGRAMS = 200_000
 _hashes: dict[int, int] = {}
 
 
-def _trigram_sums(text: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def trigram_sums(text: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots, sums) of a text that is lower case already."""
     c = np.frombuffer(f"  {text}  ".encode("utf-32-le"), np.uint32).astype(np.int64)
     keys, counts = np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:], return_counts=True)
@@ -130,7 +121,7 @@ def hash_embedding(rows: DataFrame, id_col: str, text_col: str, dim: int = 384)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    pairs = [_trigram_sums(t, dim) for t in part.column(1).to_pylist()]
+                    pairs = [trigram_sums(t, dim) for t in part.column(1).to_pylist()]
                     values = [v / max(np.sqrt((v * v).sum()), 1e-12) if unit else v for _, v in pairs]
                     ids = part.column(0).take(pa.array(np.repeat(np.arange(len(pairs)), [len(v) for v in values])))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([x for x, _ in pairs]).astype(np.int32)), pa.array(np.concatenate(values))], names=[id_col, "slot", "value"])
@@ -182,7 +173,3 @@ def embed_once(rows: DataFrame, known: DataFrame | None, embed, dim: int, hash_c
     made = embed_texts(need, text_col, "vector", embed, dim).select(hash_col, "vector")
     every = made if known is None else known.unionByName(made)
     return rows.join(every, hash_col, "left")
-
-
-def unit_share(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
-    return vectors.agg(F.avg(norm(F.col(vector_col))).alias("mean_norm"))

@@ -11,11 +11,12 @@ from tessera.settings import Settings
 
 
 def document_search(
-    docs: DataFrame, chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], k: int | None = None, mode: str = "hybrid", prefix: str | None = None, family: str = "pdf_", settings: Settings | None = None, postfilter: bool = False
+    docs: DataFrame, chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], k: int | None = None, mode: str = "hybrid", prefix: str | None = None, family: str = "pdf_", settings: Settings | None = None, postfilter: bool = False, index: tuple[DataFrame, DataFrame] | None = None
 ) -> DataFrame:
     """(id, score, sources) of the best chunks of the family: vectors (modes hybrid, semantic), words (hybrid, keyword) and paths or titles (hybrid).
 
-    The scope holds before vectors are cut to the candidates; postfilter instead cuts first, to a multiple of them, and filters then.
+    The scope holds before vectors are cut to the candidates; postfilter instead cuts first, to a multiple of them, and filters then. index: postings and statistics
+    of the chunks, without which all are tokenised.
     """
     s = settings or Settings()
     k = s.top_k(k)
@@ -30,7 +31,9 @@ def document_search(
             hits = dense.dense_topk(vectors.join(own, "chunk_id", "left_semi"), query_vector, n, "chunk_id", "vector")
         lists["dense"] = hits.withColumnRenamed("chunk_id", "id")
     if mode in ("hybrid", "keyword"):
-        lists["fts"] = lexical.top(lexical.bm25(chunks, "id", {c: w for c, w in navigation.CHUNK_WEIGHTS.items() if c in chunks.columns}, query_phrases(query), scope), "id", n)
+        weights, phrases = {c: w for c, w in navigation.CHUNK_WEIGHTS.items() if index or c in chunks.columns}, query_phrases(query)
+        words = lexical.bm25_from_postings(*index, "id", phrases, weights, chunks.where(scope)) if index else lexical.bm25(chunks, "id", weights, phrases, scope)
+        lists["fts"] = lexical.top(words, "id", n)
     if mode == "hybrid":
         paths = navigation.document_path_search(docs, chunks, query, n).where(path_prefix(F.col("path"), prefix))
         lists["path"] = navigation.chunks_for_docs(chunks.where(scope), paths.select("doc_id", (1.0 / (1 + F.length("path"))).alias("score")))

@@ -59,12 +59,25 @@ def top(scored: DataFrame, id_col: str, k: int) -> DataFrame:
     return scored.orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
-def postings(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """The inverted index (term, id, column, hits, positions, size of the row); to be written sorted by term, so that a query's terms prune files."""
-    size = sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0))
+def postings(rows: DataFrame, id_col: str, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """The inverted index (term, id, column, hits, positions, size of the row, and the columns in keep); to be written sorted by term, so that a query's terms prune row groups."""
+    keep = keep or []
     each = F.array(*(F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("toks")) for c in columns))
-    out = spread(rows.select(id_col, *columns)).select(F.col(id_col), size.alias("size"), F.explode(each).alias("x")).select(id_col, "size", "x.column", F.posexplode("x.toks").alias("position", "term"))
-    return out.groupBy("term", id_col, "column", "size").agg(F.count("*").alias("hits"), F.array_sort(F.collect_list("position")).alias("positions"))
+    held = spread(rows.select(id_col, *keep, *columns)).select(id_col, *keep, each.alias("x"))
+    held = held.select(id_col, *keep, F.aggregate("x", F.lit(0), lambda n, c: n + F.size(c["toks"])).alias("size"), F.explode("x").alias("x")).select(id_col, *keep, "size", "x.column", "x.toks")
+    out = held.select(id_col, *keep, "size", "column", F.posexplode("toks").alias("position", "term"))
+    return out.groupBy("term", id_col, *keep, "column", "size").agg(F.count("*").cast("int").alias("hits"), F.array_sort(F.collect_list("position")).alias("positions"))
+
+
+def sizes(index: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(key, n_rows, tokens): how many rows a document has in the index, and how many tokens these have; summed, the statistics of BM25."""
+    toks = index.groupBy(key).agg(F.sum("hits").alias("tokens"))
+    return rows.groupBy(key).agg(F.count("*").alias("n_rows")).join(toks, key, "left").select(key, "n_rows", F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"))
+
+
+def statistics(sized: DataFrame) -> DataFrame:
+    """One row (n_rows, avg_size) of sizes()."""
+    return sized.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.try_divide(F.sum("tokens"), F.sum("n_rows")).alias("avg_size"))
 
 
 def document_frequencies(rows: DataFrame, id_col: str, column: str) -> DataFrame:
@@ -73,12 +86,27 @@ def document_frequencies(rows: DataFrame, id_col: str, column: str) -> DataFrame
     return counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
-def bm25_from_postings(index: DataFrame, stats: DataFrame, id_col: str, terms: list[str], weights: dict[str, float]) -> DataFrame:
-    """(id, score) from a postings table for one-token terms; only their rows are read. stats: one row (n_rows, avg_size)."""
-    weight = F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("column"))
-    hits = index.where(F.col("term").isin(terms)).groupBy("term", id_col, "size").agg(F.sum(F.col("hits") * weight).alias("f"))
-    dfs = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("n")))  # as many rows as query terms
+def bm25_from_postings(index: DataFrame, stats: DataFrame, id_col: str, phrases: list[list[str]], weights: dict[str, float], scoped: DataFrame | None = None) -> DataFrame:
+    """(id, score) as bm25() gives them, from a postings table: only rows of the query's terms are read, and no text is tokenised.
+
+    A phrase of several tokens is where the positions of its terms, each less its place in the phrase, are the same. stats: one row (n_rows, avg_size).
+    scoped: the ids that may be returned; the statistics are those of all rows.
+    """
+    if not phrases:
+        return index.select(F.col(id_col), F.lit(0.0).alias("score")).limit(0)
+    terms = sorted({t for p in phrases for t in p})
+    asked = F.array(*(F.struct(F.lit(k).alias("phrase"), F.lit(i).alias("i"), F.lit(t).alias("t"), F.lit(len(p)).alias("n")) for k, p in enumerate(phrases) for i, t in enumerate(p)))
+    rows = index.where(F.col("term").isin(terms) & F.col("column").isin(list(weights)))
+    rows = rows.withColumn("a", F.explode(F.filter(asked, lambda x: x["t"] == F.col("term"))))
+    keys = ["a.phrase", id_col, "size", "column"]
+    single = rows.where("a.n = 1").select(*keys, F.col("hits").cast("long").alias("hits"))
+    several = rows.where("a.n > 1").select(*keys, "a.n", F.explode(F.transform("positions", lambda x: x - F.col("a.i"))).alias("at"))
+    several = several.groupBy("phrase", id_col, "size", "column", "at", "n").agg(F.count("*").alias("k")).where("k = n").groupBy("phrase", id_col, "size", "column").agg(F.count("*").alias("hits"))
+    weight = F.element_at(F.create_map(*(F.lit(x) for c, w in weights.items() for x in (c, float(w)))), F.col("column"))
+    hits = (single.unionByName(several) if any(len(p) > 1 for p in phrases) else single).groupBy("phrase", id_col, "size").agg(F.sum(F.col("hits") * weight).alias("f"))
+    dfs = F.broadcast(hits.groupBy("phrase").agg(F.count("*").alias("n")))  # as many rows as phrases
     idf = F.ln((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
-    return hits.join(dfs, "term").crossJoin(F.broadcast(stats)).groupBy(id_col).agg(F.sum(part).alias("score"))
+    found = hits if scoped is None else hits.join(scoped.select(id_col), id_col, "left_semi")
+    return found.join(dfs, "phrase").crossJoin(F.broadcast(stats)).groupBy(id_col).agg(F.sum(part).alias("score")).where("score > 0")

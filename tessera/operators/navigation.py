@@ -5,13 +5,15 @@ The tables are those of tessera.sources.schemas; each function names the columns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import like_any_case, ordered_terms_pattern, query_phrases, query_terms
-from tessera.operators.lexical import bm25
+from tessera.operators.lexical import bm25, bm25_from_postings
 
 #: Effective weights of a symbol's columns in full-text search.
 SYMBOL_WEIGHTS = {"name": 5.0, "qualified_name": 1.0, "kind": 2.5, "path": 2.5, "signature": 1.5, "docstring": 0.4, "text": 1.0}
@@ -20,9 +22,10 @@ EXACT, SUFFIX, PATTERN = 100.0, 75.0, 40.0
 IDENTIFIER = r"^[A-Za-z_$][A-Za-z0-9_$]*(?:(?:\.|::|#)[A-Za-z_$][A-Za-z0-9_$]*)*$"
 
 
-def symbol_tiers(symbols: DataFrame, query: str, limit: int, where: Column | None = None, weights: dict[str, float] | None = None, path_col: str | None = "path") -> DataFrame:
+def symbol_tiers(symbols: DataFrame, query: str, limit: int, where: Column | None = None, weights: dict[str, float] | None = None, path_col: str | None = "path", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(id, score): exact names and qualified names first, then qualified suffixes, then names, qualified names and paths that have
-    the query's terms in order, then full-text hits; a symbol in several tiers has its best score. Each tier keeps `limit`."""
+    the query's terms in order, then full-text hits; a symbol in several tiers has its best score. Each tier keeps `limit`; of equal scores
+    what stands first in its file is kept. index: postings and statistics of the symbols, without which all are tokenised."""
     rows = symbols if where is None else symbols.where(where)
     name, qualified = F.lower("name"), F.lower("qualified_name")
     q = query.strip().lower()
@@ -36,8 +39,16 @@ def symbol_tiers(symbols: DataFrame, query: str, limit: int, where: Column | Non
 
     found = [tier((name == q) | (qualified == q), EXACT), tier(F.endswith(qualified, F.lit("." + q)), SUFFIX), tier(like, PATTERN)]
     use = {c: w for c, w in (weights or SYMBOL_WEIGHTS).items() if c in symbols.columns}
-    found.append(bm25(symbols, "id", use, query_phrases(query), where).orderBy(F.col("score").desc(), "id").limit(limit))
-    return reduce(DataFrame.unionByName, found).groupBy("id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "id").limit(limit)
+    if index:
+        words = bm25_from_postings(*index, "id", query_phrases(query), use, None if where is None else rows)
+    else:
+        words = bm25(symbols, "id", use, query_phrases(query), where)
+    found.append(words.orderBy(F.col("score").desc(), "id").limit(limit))
+    best = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.max("score").alias("score"))
+    if "line_start" in symbols.columns:  # no more rows than the limits of four tiers
+        best = symbols.select("id", "line_start").join(F.broadcast(best), "id")
+        return best.orderBy(F.col("score").desc(), "line_start", "id").limit(limit).select("id", "score")
+    return best.orderBy(F.col("score").desc(), "id").limit(limit)
 
 
 def path_search(docs: DataFrame, query: str, limit: int, path_col: str = "path", id_col: str = "doc_id") -> DataFrame:
@@ -143,11 +154,39 @@ def multi_get(rows: DataFrame, ids: list, id_col: str) -> DataFrame:
 
 
 def enclosing(points: DataFrame, intervals: DataFrame, key: str, at: str = "line", start: str = "line_start", end: str = "line_end", id_col: str = "id") -> DataFrame:
-    """Each point (key, at) with the innermost interval of its key around it: the one that starts last, of those the shortest. An equi-join on the key with a range test."""
-    span = intervals.select(key, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(id_col).alias("__id"))
-    both = points.withColumn("__pt", F.struct(*points.columns)).select(key, F.col(at).alias("__at"), "__pt").join(span, key).where("__at between __s and __e")
-    best = both.groupBy("__pt").agg(F.min(F.struct((-F.col("__s").cast("double")).alias("s"), (F.col("__e") - F.col("__s")).alias("n"), F.col("__id").alias("id")))["id"].alias("enclosing_id"))
-    return points.withColumn("__pt", F.struct(*points.columns)).join(best, "__pt", "left").drop("__pt")
+    """Each point (key, at) with the innermost interval of its key around it: the one that starts last, of those the shortest, then the least id.
+
+    One sweep: starts and points of a key are sorted together, and a fold carries the intervals that are still open, innermost last. A point never meets an interval
+    that is closed or not yet open, so a key of many points and intervals costs their sum and not their product.
+    """
+    kind = dict(intervals.dtypes)[id_col]
+    opens = intervals.select(F.col(key).alias("__key"), F.col(start).cast("double").alias("__at"), F.lit(0).alias("__point"), F.col(end).cast("double").alias("__e"), F.col(id_col).cast("string").alias("__id"), F.lit(None).cast("long").alias("__n"))
+    numbered = points.withColumn("__n", F.xxhash64(F.struct(*points.columns)))
+    asked = numbered.select(F.col(key).alias("__key"), F.col(at).cast("double").alias("__at"), F.lit(1).alias("__point"), F.lit(None).cast("double").alias("__e"), F.lit(None).cast("string").alias("__id"), "__n").where("__at is not null").distinct()
+    schema = f"__key {dict(points.dtypes)[key]}, __at double, __n long, __id string"
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, open_ = None, []  # (end, id), the innermost last
+        for batch in batches:
+            out = []
+            for k, x, is_point, e, i, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != current:
+                    current, open_ = k, []
+                while open_ and open_[-1][0] < x:
+                    open_.pop()
+                if is_point:
+                    if open_:
+                        out.append((k, x, n, open_[-1][1]))
+                elif e >= x:
+                    open_.append((e, i))
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(f).type) for c, f in zip(columns, ("__key", "__at", "__n", "__id"), strict=True)], names=["__key", "__at", "__n", "__id"])
+
+    # of one start, the longest comes first and the greatest id, so that the innermost is on top
+    both = opens.unionByName(asked).where("__key is not null").repartition("__key").sortWithinPartitions("__key", "__at", "__point", F.col("__e").desc(), F.col("__id").cast(kind).desc())
+    found = both.mapInArrow(sweep, schema).select(F.col("__key").alias(key), "__n", F.col("__at"), F.col("__id").cast(kind).alias("enclosing_id"))
+    on = [key, "__n", "__at"]
+    return numbered.withColumn("__at", F.col(at).cast("double")).join(found, on, "left").drop("__n", "__at").select(*points.columns, "enclosing_id")
 
 
 def packed_hits(hits: DataFrame, chunks: DataFrame, include_text: bool = False, chars: int = 700) -> DataFrame:

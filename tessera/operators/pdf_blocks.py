@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import header_key
@@ -20,16 +20,15 @@ def without_margins(blocks: DataFrame, share: float = 0.55, where: Column | None
     """blocks without those whose normalised text stands on at least max(2, int(share * pages + 0.999)) pages of their document.
 
     where: the blocks that count as margins (by default all)."""
-    keyed = blocks.withColumn("__key", header_key(F.col("text")))
-    margin = keyed if where is None else keyed.where(where)
-    pages = blocks.groupBy("doc_id").agg(F.countDistinct("page").alias("__pages"))
-    df = margin.where("__key <> ''").groupBy("doc_id", "__key").agg(F.countDistinct("page").alias("__df"))
-    least = F.greatest(F.lit(2), F.floor(F.lit(share) * F.col("__pages") + 0.999))
-    gone = df.join(pages, "doc_id").where(F.col("__df") >= least).select("doc_id", "__key")
-    out = keyed.join(gone, ["doc_id", "__key"], "left_anti")
-    if where is not None:
-        out = out.unionByName(keyed.where(~where).join(gone, ["doc_id", "__key"], "left_semi"))
-    return out.drop("__key")
+    key = F.md5(header_key(F.col("text")))
+    test = F.lit(True) if where is None else where
+    # one shuffle of (document, key, page), keys as hashes: pages of each key, and from their null key the pages of the document
+    keys = F.array_distinct(F.array(F.lit(None).cast("string"), F.when(test & (header_key(F.col("text")) != ""), key)))
+    df = blocks.select("doc_id", "page", F.explode(keys).alias("__key")).distinct().groupBy("doc_id", "__key").agg(F.count("*").alias("__df"))
+    df = df.withColumn("__pages", F.max(F.when(F.col("__key").isNull(), F.col("__df"))).over(Window.partitionBy("doc_id")))
+    gone = df.where(F.col("__key").isNotNull() & (F.col("__df") >= F.greatest(F.lit(2), F.floor(F.lit(share) * F.col("__pages") + 0.999)))).select("doc_id", "__key")
+    keyed = blocks.withColumn("__key", F.when(test, key))
+    return keyed.join(gone, ["doc_id", "__key"], "left_anti").select(*blocks.columns)
 
 
 def body_size(blocks: DataFrame) -> DataFrame:

@@ -21,8 +21,9 @@ def manifest_diff(current: DataFrame, manifest: DataFrame, id_col: str = "doc_id
 
 
 def stat_changed(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files (path, mtime_ns, size_bytes) that aren't in the manifest with the same time and size: only their content needs to be read."""
-    return files.join(manifest.select("path", "mtime_ns", "size_bytes"), ["path", "mtime_ns", "size_bytes"], "left_anti")
+    """Files (root, path, mtime_ns, size_bytes) that aren't in the manifest with the same time and size: only their content needs to be read."""
+    same = ["root", "path", "mtime_ns", "size_bytes"]
+    return files.join(manifest.select(*same), same, "left_anti")
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str | list[str]) -> DataFrame:
@@ -45,7 +46,7 @@ def delete_docs(tables: dict[str, DataFrame], ids: DataFrame, id_col: str = "doc
     """Each table without the rows of the documents in ids; vectors (chunk_id) go with their chunks."""
     gone = ids.select(id_col).distinct()
     out = {name: t.join(gone, id_col, "left_anti") for name, t in tables.items() if id_col in t.columns}
-    if "vectors" in tables:
+    if "vectors" in tables and "vectors" not in out:
         kept = out["chunks"].select(F.col("id").alias("chunk_id"))
         out["vectors"] = tables["vectors"].join(kept, "chunk_id", "left_semi")
     return out

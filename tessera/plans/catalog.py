@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import FOLD_FROM, FOLD_TO, fetch_text, is_binary, normalized_lines, ordered_terms_pattern, path_prefix, query_phrases, query_terms_column, snippet, stable_id
 from tessera.functions.vectors import norm, normalized
-from tessera.operators import chunks, dense, fusion, lexical, navigation, pdf_blocks, reconcile
+from tessera.operators import chunks, dense, extract, fusion, lexical, navigation, pdf_blocks, reconcile
+from tessera.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -82,9 +83,30 @@ def bm25_sql(table: str, id_col: str, weights: dict[str, float], phrases: list[l
     )
 
 
+_indexes: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def _index(rows: DataFrame, sf_dir: str, table: str, id_col: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Postings and statistics of a table's columns: written sorted by term when a session first asks for them, and read by each query from then on."""
+    spark = rows.sparkSession
+    key = (spark.sparkContext.applicationId, sf_dir, table, *columns)
+    if key not in _indexes:
+        index, root = lexical.postings(rows, id_col, columns), shared_folder(spark, "index")
+        index.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{root}/postings")
+        index = spark.read.schema(index.schema).parquet(f"{root}/postings")
+        stats = lexical.statistics(lexical.sizes(index, rows, id_col))
+        stats.write.parquet(f"{root}/stats")
+        _indexes[key] = index, spark.read.schema(stats.schema).parquet(f"{root}/stats")
+    return _indexes[key]
+
+
+def _words(spark: SparkSession, sf_dir: str, table: str, id_col: str, weights: dict[str, float], phrases: list[list[str]], scoped: DataFrame | None = None) -> DataFrame:
+    return lexical.bm25_from_postings(*_index(_t(spark, sf_dir, table), sf_dir, table, id_col, list(weights)), id_col, phrases, weights, scoped)
+
+
 @_register(f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql('documents', 'doc_id', {'text': 1.0}, PHRASES)} x ORDER BY x.score DESC, doc_id LIMIT 20")
 def kw_bm25_topk(spark, sf_dir):
-    return lexical.top(lexical.bm25(_t(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, PHRASES), "doc_id", 20).select("doc_id", _r("score").alias("score"))
+    return lexical.top(_words(spark, sf_dir, "documents", "doc_id", {"text": 1.0}, PHRASES), "doc_id", 20).select("doc_id", _r("score").alias("score"))
 
 
 _PART_WEIGHTS = {"p_name": 5.0, "p_brand": 1.0, "p_type": 2.5}
@@ -92,12 +114,12 @@ _PART_WEIGHTS = {"p_name": 5.0, "p_brand": 1.0, "p_type": 2.5}
 
 @_register(f"SELECT p_partkey, round(score, 6) AS score FROM {bm25_sql('part', 'p_partkey', _PART_WEIGHTS, query_phrases('red Brand#2 ECONOMY widget'))}")
 def kw_bm25_multicol_weighted(spark, sf_dir):
-    return lexical.bm25(_t(spark, sf_dir, "part"), "p_partkey", _PART_WEIGHTS, query_phrases("red Brand#2 ECONOMY widget")).select("p_partkey", _r("score").alias("score"))
+    return _words(spark, sf_dir, "part", "p_partkey", _PART_WEIGHTS, query_phrases("red Brand#2 ECONOMY widget")).select("p_partkey", _r("score").alias("score"))
 
 
 @_register(f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql('documents', 'doc_id', {'text': 1.0}, [['general', 'public', 'license'], ['version', '3']])}")
 def kw_phrase(spark, sf_dir):
-    return lexical.bm25(_t(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, query_phrases("general-public-license version.3")).select("doc_id", _r("score").alias("score"))
+    return _words(spark, sf_dir, "documents", "doc_id", {"text": 1.0}, query_phrases("general-public-license version.3")).select("doc_id", _r("score").alias("score"))
 
 
 _SCOPE_SQL = "lang = 'en' AND source ILIKE 'src1%'"
@@ -106,7 +128,7 @@ _SCOPE_SQL = "lang = 'en' AND source ILIKE 'src1%'"
 @_register(f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql('documents', 'doc_id', {'text': 1.0, 'source': 1.8}, PHRASES, _SCOPE_SQL)} x ORDER BY x.score DESC, doc_id LIMIT 50")
 def kw_scoped(spark, sf_dir):
     scope = (F.col("lang") == "en") & path_prefix(F.col("source"), "src1")
-    return lexical.top(lexical.bm25(_t(spark, sf_dir, "documents"), "doc_id", {"text": 1.0, "source": 1.8}, PHRASES, scope), "doc_id", 50).select("doc_id", _r("score").alias("score"))
+    return lexical.top(_words(spark, sf_dir, "documents", "doc_id", {"text": 1.0, "source": 1.8}, PHRASES, _t(spark, sf_dir, "documents").where(scope)), "doc_id", 50).select("doc_id", _r("score").alias("score"))
 
 
 @_register(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({_toks_sql('text')}) AS term FROM documents) GROUP BY term")
@@ -116,10 +138,10 @@ def term_df_stats(spark, sf_dir):
 
 @_register(f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql('documents', 'doc_id', {'text': 1.0}, [['licensed'], ['apache'], ['mit']])}")
 def kw_postings_index(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    index = lexical.postings(docs, "doc_id", ["text"])
-    stats = docs.agg(F.count("*").alias("n_rows"), F.avg(F.size(lexical.tokens(F.col("text")))).alias("avg_size"))
-    return lexical.bm25_from_postings(index, stats, "doc_id", ["licensed", "apache", "mit"], {"text": 1.0}).select("doc_id", _r("score").alias("score"))
+    docs = _t(spark, sf_dir, "documents").withColumn("title", F.lit(""))
+    index = lexical.postings(docs, "doc_id", ["text"])  # built here and now, as an index run does
+    stats = lexical.statistics(lexical.sizes(index, docs, "doc_id"))
+    return lexical.bm25_from_postings(index, stats, "doc_id", [["licensed"], ["apache"], ["mit"]], {"text": 1.0}).select("doc_id", _r("score").alias("score"))
 
 
 @_register(
@@ -137,7 +159,8 @@ _DENSE_SQL = f"(SELECT vec_id, label, list_inner_product(embedding::DOUBLE[], (S
 
 
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return list(_t(spark, sf_dir, "embeddings").where(F.col("vec_id") == VECTOR_ID).select("embedding").first()[0])
+    row = _t(spark, sf_dir, "embeddings").where(F.col("vec_id") == VECTOR_ID).select("embedding").first()
+    return list(row[0]) if row else []
 
 
 @_register(f"SELECT vec_id, round(score, 6) AS score FROM {_DENSE_SQL} e ORDER BY e.score DESC, vec_id LIMIT 20")
@@ -211,7 +234,7 @@ _BM25_DOCS = bm25_sql("documents", "doc_id", {"text": 1.0}, PHRASES)
 def hybrid_rrf(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     near = dense.dense_topk(_t(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 120).withColumnRenamed("vec_id", "doc_id")
-    words = lexical.top(lexical.bm25(docs, "doc_id", {"text": 1.0}, PHRASES), "doc_id", 120)
+    words = lexical.top(_words(spark, sf_dir, "documents", "doc_id", {"text": 1.0}, PHRASES), "doc_id", 120)
     paths = navigation.path_search(docs, "src1", 120, path_col="source")
     paths = paths.select("doc_id", (1.0 / F.row_number().over(Window.orderBy(F.length("source"), "source", "doc_id"))).alias("score"))  # 120 rows
     fused = fusion.fuse({"dense": near, "fts": words, "path": paths}, {"dense": 0.5, "fts": 0.38, "path": 0.55}, "doc_id", 32)
@@ -232,9 +255,14 @@ def _parts_as_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"), F.col("p_type").alias("kind"))
 
 
+def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = _parts_as_symbols(spark, sf_dir)
+    return navigation.symbol_tiers(symbols, "small ring", 60, path_col=None, index=_index(symbols, sf_dir, "symbols", "id", ["name", "qualified_name", "kind"]))
+
+
 @_register(f"SELECT id, round(score, 6) AS score FROM {_TIERS_SQL}")
 def symbol_tiers(spark, sf_dir):
-    return navigation.symbol_tiers(_parts_as_symbols(spark, sf_dir), "small ring", 60, path_col=None).select("id", _r("score").alias("score"))
+    return _tiers(spark, sf_dir).select("id", _r("score").alias("score"))
 
 
 @_register(
@@ -244,8 +272,8 @@ def symbol_tiers(spark, sf_dir):
     "SELECT id, round(score, 6) AS score FROM f ORDER BY f.score DESC, first, id LIMIT 32"
 )
 def rrf_raw_bonus(spark, sf_dir):
-    tiers = navigation.symbol_tiers(_parts_as_symbols(spark, sf_dir), "small ring", 60, path_col=None)
-    words = lexical.top(lexical.bm25(_t(spark, sf_dir, "part"), "p_partkey", _PART_WEIGHTS, [["ring"], ["economy"]]), "p_partkey", 120).withColumnRenamed("p_partkey", "id")
+    tiers = _tiers(spark, sf_dir)
+    words = lexical.top(_words(spark, sf_dir, "part", "p_partkey", _PART_WEIGHTS, [["ring"], ["economy"]]), "p_partkey", 120).withColumnRenamed("p_partkey", "id")
     return fusion.fuse({"symbol": tiers, "fts": words}, {"symbol": 0.82, "fts": 0.38}, "id", 32, bonus={"symbol": 0.0005}).select("id", _r("score").alias("score"))
 
 
@@ -483,7 +511,8 @@ def manifest_diff_status(spark, sf_dir):
 
 @_register("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_join_stale(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+    left = reconcile.delete_missing({"docs": _t(spark, sf_dir, "documents")}, _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left_anti"))
+    return left["docs"].select("doc_id", "source")
 
 
 @_register(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +30,13 @@ def spread(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """df dealt to all cores if it is small by the optimizer's estimate: a small file is one task otherwise, whatever is done with its rows."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most_bytes else df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or, where none is set, beside the warehouse's tables (in local mode a temporary one)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        local = spark.sparkContext.master.startswith("local")
+        where = "file://" + tempfile.mkdtemp(prefix="tessera-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera"
+        spark.sparkContext.setCheckpointDir(where)
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -26,7 +26,7 @@ EXTENSIONS = (
 )
 SECRETS = (".env", ".env.*", "*.pem", "*.key", "*.p12", "*.pfx", "id_rsa", "id_rsa.*", "id_ed25519", "id_ed25519.*", ".npmrc", ".pypirc", "credentials", "credentials.*", "secrets.*")
 EXCLUDED_DIRS = (
-    ".git", ".hg", ".svn", ".brag", ".rag", ".index", ".indexes", ".venv", "venv", "env", ".env", "virtualenv", "node_modules", "bower_components", "dist", "build", "out", "target", "coverage", "htmlcov",
+    ".git", ".hg", ".svn", ".rag", ".index", ".indexes", ".venv", "venv", "env", ".env", "virtualenv", "node_modules", "bower_components", "dist", "build", "out", "target", "coverage", "htmlcov",
     ".next", ".nuxt", ".svelte-kit", ".turbo", ".parcel-cache", ".cache", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".nox", ".uv", ".eggs", "*.egg-info", "__pycache__", ".ipynb_checkpoints",
     ".idea", ".vscode", "vendor", "contrib", "third_party", "external", "site-packages", "dist-packages", "models", ".models", "checkpoints", ".checkpoints", "huggingface", ".huggingface", "transformers",
     ".transformers",

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.reconcile import upsert
 from tessera.sources.snapshot import SnapshotStore
 
 
@@ -16,14 +15,17 @@ def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 m
     return rows.groupBy(F.window(ts, length).alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
-def merge_stream(arrivals: DataFrame, store: SnapshotStore, table: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Writes a stream of rows into a table of the index: each batch is one new snapshot in which its rows replace those of the same key, so a batch that is run again changes nothing."""
+def merge_stream(arrivals: DataFrame, store: SnapshotStore, table: str, key: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Writes a stream of rows into a table of the index: each batch is one new snapshot in which its rows replace those of the same key, so a batch that is run again changes nothing.
+
+    Of several rows of a key in a batch the one of the greatest `order` counts, and of equal ones (or without it) the one of the greatest hash. Only
+    buckets that the batch has rows of are written.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
-        newest = batch.dropDuplicates([key])
-        held = store.tables()
-        now = upsert(held[table], newest, key) if table in held else newest
+        last = F.struct(*([F.col(order)] if order else []), F.xxhash64(F.struct(*batch.columns)))
+        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), last).alias("row")).select("row.*")
         with store.writing():
-            store.publish({**{n: t for n, t in held.items() if n != table}, table: now})
+            store.merge(table, newest, key)
 
     return arrivals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -147,7 +147,60 @@ def test_failed_run_keeps_the_last_snapshot(spark, engine):
     with pytest.raises(NotQueryable):
         engine.store.check()
     engine.reindex()
-    assert engine.store.check() > version
+    assert engine.store.check() == version  # nothing had changed, so nothing was written
+
+
+def test_updates_write_only_their_buckets_and_other_settings_rebuild(spark, tmp_path):
+    one, two = tmp_path / "one", tmp_path / "two"
+    for root in (one, two):
+        root.mkdir()
+    for i in range(40):
+        (one / f"m{i}.py").write_text(f"def function_{i}(value):\n    return value + {i}\n")
+    e = Engine(spark, f"file://{tmp_path}/store", [str(one), str(two)], Settings(), dim=8)
+    e.reindex()
+    before = e.store.current()["tables"]
+    (one / "m7.py").write_text("def changed_7(value):\n    return function_7(value)\n")
+    assert e.reindex(paths=["m7.py"])["docs"] == 40
+    after = e.store.current()["tables"]
+    assert all(len([b for b, v in after[t]["buckets"].items() if before[t]["buckets"].get(b) != v]) <= 1 for t in after)
+    assert {r.name for r in e._tables()["symbols"].where("path = 'm7.py'").collect()} == {"changed_7"} and e.code_search("changed_7").first().path == "m7.py"
+    # the same relative path, time and size under the other root is another file
+    stat = (one / "m3.py").stat()
+    (two / "m3.py").write_text((one / "m3.py").read_text())
+    os.utime(two / "m3.py", ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    assert e.reindex()["docs"] == 41
+    other = Engine(spark, f"file://{tmp_path}/store", [str(one), str(two)], Settings(embedding_dim=4), dim=4)
+    other.reindex(paths=["m7.py"])
+    assert {len(r.vector) for r in other._tables()["vectors"].collect()} == {4} and other._tables()["docs"].count() == 41 and other.doctor()["ok"]
+    assert other.optimise()["ok"] and other.code_search("changed_7").first().path == "m7.py"
+    assert len(list((tmp_path / "store/manifests").glob("*.json"))) == 1
+
+
+def test_word_search_reads_the_terms_rows_only(engine):
+    plan = engine.code_search("validate_token", mode="keyword")._jdf.queryExecution().toString()
+    scan = next(x for x in plan.split("\n") if "FileScan parquet" in x and "positions" in x)
+    assert "PushedFilters" in scan and "In(term" in scan and "regexp_extract_all" not in plan
+
+
+def test_crash_between_writing_and_renaming_keeps_the_pointer(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}")
+    store._write("CURRENT.json", {"version": 1})
+    store._create("CURRENT.json.new", {"version": 2}, True)  # where a writer dies
+    assert store.version() == 1
+    store._write("CURRENT.json", {"version": 3})
+    assert store.version() == 3
+
+
+def test_lock_of_a_dead_writer_is_taken_over(spark, tmp_path):
+    import socket
+
+    store = SnapshotStore(spark, f"file://{tmp_path}")
+    store._create("WRITER.lock", {"host": socket.gethostname(), "pid": 2**30}, False)
+    with store.writing():
+        pass
+    store._create("WRITER.lock", {"host": "elsewhere", "pid": 1}, False)
+    with pytest.raises(Locked), store.writing():
+        pass
 
 
 def test_second_writer_is_refused(spark, tmp_path):
@@ -207,6 +260,9 @@ def test_stream_merges_into_the_index(spark, tmp_path):
             spark.createDataFrame([("b", 2), ("c", 2)], "id string, v int").coalesce(1).write.mode("append").parquet(source)
         merge_stream(spark.readStream.schema("id string, v int").parquet(source), store, "items", "id", f"{tmp_path}/ck").awaitTermination()
     assert {(r.id, r.v) for r in store.table("items").collect()} == {("a", 1), ("b", 2), ("c", 2)}
+    spark.createDataFrame([("a", 5), ("a", 9), ("a", 7)], "id string, v int").coalesce(1).write.mode("append").parquet(source)
+    merge_stream(spark.readStream.schema("id string, v int").parquet(source), store, "items", "id", f"{tmp_path}/ck", order="v").awaitTermination()
+    assert {(r.id, r.v) for r in store.table("items").collect()} == {("a", 9), ("b", 2), ("c", 2)}
 
 
 def test_windows_on_a_table(spark):
