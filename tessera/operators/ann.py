@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.vectors import dot
 from tessera.operators.dense import dense_topk
 
 #: Vectors that centroids are fitted on, at most; every vector is indexed.
@@ -50,7 +51,37 @@ def ivf_index(vectors: DataFrame, centroids: np.ndarray, id_col: str = "vec_id",
     return vectors.select(id_col, vector_col).mapInArrow(run, f"{id_col} {kinds[id_col]}, {vector_col} {kinds[vector_col]}, list int")
 
 
-def ivf_topk(index: DataFrame, centroids: np.ndarray, query: list[float], k: int, probes: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k best of the `probes` lists whose centroids are nearest to the query."""
+#: Share of the lists that a query looks at. Recall of ten neighbours on the embeddings at hand (2,000 of them, 45 lists), which have hardly any clusters: 0.49 at a tenth of the lists, 0.89 at half
+#: of them, 0.97 at this share (0.94 on 500 of them). Clustered vectors need less.
+PROBED = 0.7
+
+
+def probes_of(centroids: np.ndarray) -> int:
+    return max(1, int(np.ceil(PROBED * len(centroids))))
+
+
+def ivf_topk_many(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id") -> DataFrame:
+    """The k best of each query (query_id, vector) in its own nearest lists: (query_id, id, score, rank).
+
+    Queries go to their lists by a join on the list, so that a list meets the queries that ask for it and no others; only the best k of a query leave a task.
+    """
+    shared, n = queries.sparkSession.sparkContext.broadcast(centroids), probes or probes_of(centroids)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), np.float32).reshape(batch.num_rows, -1)
+            lists = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+            at = pa.array(np.repeat(np.arange(len(x)), lists.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lists.ravel())], names=[query_id, "vector", "list"])
+
+    asked = queries.select(F.col(query_id).cast("long").alias(query_id), "vector").mapInArrow(nearest, f"{query_id} long, vector array<float>, list int")
+    both = index.select(F.col(id_col), F.col(vector_col).alias("__v"), "list").join(asked, "list").select(query_id, id_col, dot(F.col("__v"), F.col("vector")).alias("score"))
+    best = Window.partitionBy(query_id).orderBy(F.col("score").desc(), id_col)
+    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def ivf_topk(index: DataFrame, centroids: np.ndarray, query: list[float], k: int, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The k best of the `probes` lists whose centroids are nearest to the query, by default PROBED of all lists."""
+    probes = probes or probes_of(centroids)
     near = np.argsort(-(centroids @ np.asarray(query, np.float32)), kind="stable")[:probes]
     return dense_topk(index, query, k, id_col, vector_col, where=F.col("list").isin(near.tolist()))

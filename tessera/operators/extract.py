@@ -120,7 +120,8 @@ def docstring_of(lines: Column) -> Column:
 def symbols(files: DataFrame) -> DataFrame:
     """(id, doc_id, path, language, kind, name, qualified_name, parent, signature, docstring, text, line_start, line_end) of files (doc_id, path, text).
 
-    A definition is found on its line, and ends where the next begins. Nothing is shuffled. The id counts equal definitions
+    A definition is found on its line, and ends where the next begins. It stands in the nearest class or the like before it that is indented less and that no line
+    in between (comments aside) ends by being indented no more than it; parent names these from the outside in. Nothing is shuffled. The id counts equal definitions
     of a file and knows no lines, so edits elsewhere in the file keep it.
     """
     rows = files.select("doc_id", "path", language_of(F.col("path")).alias("language"), lines_of(F.coalesce("text", F.lit(""))).alias("lines")).where("language not in ('', 'dockerfile')")
@@ -128,19 +129,36 @@ def symbols(files: DataFrame) -> DataFrame:
     def definition(line: Column, i: Column) -> Column:
         head = _by_language(F.col("language"), lambda p, _: F.regexp_extract(line, p, 0))
         name = _by_language(F.col("language"), lambda p, groups: F.coalesce(*(F.nullif(F.trim(F.regexp_extract(line, p, g)), F.lit("")) for g in groups)))
-        return F.struct(i.alias("at"), head.alias("head"), F.coalesce(name, F.when(head.contains("impl"), F.concat(F.lit("impl@"), i + 1))).alias("name"))
+        return F.struct(i.alias("at"), head.alias("head"), F.coalesce(name, F.when(head.contains("impl"), F.concat(F.lit("impl@"), i + 1))).alias("name"), indent(line).alias("indent"))
+
+    def indent(line: Column) -> Column:
+        return F.length(F.regexp_extract(line, r"^[ \t]*", 0))
+
+    def nested(state: Column, d: Column) -> Column:
+        """Goes over the definitions with those that are open, each with its full name."""
+        between = F.filter(F.slice("lines", state["next"] + 1, d["at"] - state["next"]), lambda x: ~x.rlike(r"^\s*(?:$|#|//|\*|@)"))
+        low = F.least(d["indent"], F.coalesce(F.array_min(F.transform(between, indent)), d["indent"]))
+        open_ = F.filter(state["open"], lambda s: s["indent"] < low)
+        parent = F.coalesce(F.get(open_, F.size(open_) - 1)["name"], F.lit(""))
+        full = F.concat_ws(".", F.nullif(parent, F.lit("")), d["name"])
+        return F.struct(
+            (d["at"] + 1).alias("next"), F.when(kind_of(d["head"]) == "function", open_).otherwise(F.array_append(open_, F.struct(d["indent"].alias("indent"), full.alias("name")))).alias("open"),
+            F.array_append(state["done"], F.struct(parent.alias("parent"), full.alias("qualified_name"))).alias("done"),
+        )
 
     rows = rows.withColumn("defs", F.filter(F.transform("lines", definition), lambda d: (d["head"] != "") & d["name"].isNotNull()))
-    each = rows.select("doc_id", "path", "language", "lines", "defs", F.posexplode(F.transform("defs", lambda d: d["at"])).alias("k", "at"))
-    each = each.withColumn("d", F.get("defs", F.col("k"))).withColumn("stop", F.coalesce(F.get("defs", F.col("k") + 1)["at"], F.size("lines")))
+    start = F.expr("struct(0 as next, cast(array() as array<struct<indent: int, name: string>>) as open, cast(array() as array<struct<parent: string, qualified_name: string>>) as done)")
+    rows = rows.withColumn("scopes", F.aggregate("defs", start, nested, lambda s: s["done"]))
+    each = rows.select("doc_id", "path", "language", "lines", "defs", "scopes", F.posexplode(F.transform("defs", lambda d: d["at"])).alias("k", "at"))
+    each = each.withColumn("scope", F.get("scopes", F.col("k"))).withColumn("d", F.get("defs", F.col("k"))).withColumn("stop", F.coalesce(F.get("defs", F.col("k") + 1)["at"], F.size("lines")))
     each = each.withColumn("own", F.slice("lines", F.col("at") + 1, F.col("stop") - F.col("at")))
     each = each.select(
-        "doc_id", "path", "language", kind_of(F.col("d.head")).alias("kind"), F.col("d.name").alias("name"), F.col("d.name").alias("qualified_name"), F.lit("").alias("parent"),
+        "doc_id", "path", "language", kind_of(F.col("d.head")).alias("kind"), F.col("d.name").alias("name"), "scope.qualified_name", "scope.parent",
         signature_of(F.col("own")).alias("signature"), docstring_of(F.col("own")).alias("docstring"), F.trim(F.array_join("own", "\n")).alias("text"), (F.col("at") + 1).alias("line_start"), F.col("stop").alias("line_end"), "k",
     )
     from pyspark.sql import Window
 
-    w = Window.partitionBy("doc_id", "kind", "name", "signature").orderBy("k")
+    w = Window.partitionBy("doc_id", "kind", "qualified_name", "signature").orderBy("k")
     each = each.withColumn("occurrence", F.row_number().over(w) - 1)
     return each.select(stable_id("symbol-v2", F.col("doc_id"), F.col("language"), F.col("kind"), F.col("qualified_name"), F.col("signature"), F.col("occurrence"), length=28).alias("id"), *[c for c in each.columns if c not in ("k", "occurrence")])
 

@@ -12,10 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import FOLD_FROM, FOLD_TO, fetch_text, is_binary, normalized_lines, ordered_terms_pattern, path_prefix, query_phrases, query_terms_column, snippet, stable_id
+from tessera.functions.text import FOLD_FROM, FOLD_TO, clean_page_text, fetch_text, is_binary, normalized_lines, ordered_terms_pattern, path_prefix, query_phrases, query_terms_column, snippet, stable_id
 from tessera.functions.vectors import norm, normalized
-from tessera.operators import chunks, dense, extract, fusion, lexical, navigation, pdf_blocks, reconcile
+from tessera.operators import ann, chunks, dense, documents, extract, fusion, lexical, navigation, pdf_blocks, reconcile
 from tessera.session import shared_folder
+from tessera.settings import Settings
+from tessera.sources import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -631,3 +633,166 @@ def paragraph_pack_chunks(spark, sf_dir):
     whole = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
     texts = whole.select("conv_id", F.array_join(F.transform("turns", lambda t: t["text"]), "\n\n").alias("text"))
     return chunks.chunk_texts(texts, "conv_id", "text").select("conv_id", "ord", "text")
+
+
+# --- source files ----------------------------------------------------------------------------------------------------
+# A file for each part: what stands on which line is known from how it is written, so SQL says what must be found without parsing it.
+
+_CODE = (
+    ("import os",), ("from app.store import load_", "k"), ("",), ("class Part", "k", ":"), ('    """About ', "name", '."""'), ("",), ("    def run_", "k", "(self, value):"), ("        # starts ", "name"),
+    ("        return load_", "k", "(value)"), ("",), ("def main_", "k", "(path):"), ("    return os.path.exists(path)",),
+)
+
+
+def _code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = {"k": F.col("p_partkey").cast("string"), "name": F.col("p_name")}
+    lines = [F.concat(*(value.get(x, F.lit(x)) for x in line)) for line in _CODE]
+    return _t(spark, sf_dir, "part").select(F.concat(F.lit("d"), value["k"]).alias("doc_id"), F.concat(F.lit("src/part_"), value["k"], F.lit(".py")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
+
+
+_SYMBOLS_SQL = (
+    "(SELECT 'd' || p_partkey AS doc_id, 'class' AS kind, 'Part' || p_partkey AS name, '' AS parent, 'class Part' || p_partkey || ':' AS signature, 'About ' || p_name || '.' AS docstring, 4 AS line_start, 6 AS line_end FROM part "
+    "UNION ALL SELECT 'd' || p_partkey, 'function', 'run_' || p_partkey, 'Part' || p_partkey, 'def run_' || p_partkey || '(self, value):', 'starts ' || p_name, 7, 10 FROM part "
+    "UNION ALL SELECT 'd' || p_partkey, 'function', 'main_' || p_partkey, '', 'def main_' || p_partkey || '(path):', '', 11, 12 FROM part)"
+)
+
+
+_QUALIFIED_SQL = "CASE WHEN parent = '' THEN name ELSE parent || '.' || name END"
+
+
+@_register(f"SELECT doc_id, 'python' AS language, kind, name, parent, {_QUALIFIED_SQL} AS qualified_name, signature, docstring, line_start, line_end FROM {_SYMBOLS_SQL}")
+def code_symbols(spark, sf_dir):
+    found = extract.symbols(_code_files(spark, sf_dir))
+    return found.select("doc_id", "language", "kind", "name", "parent", "qualified_name", "signature", "docstring", "line_start", "line_end")
+
+
+@_register(
+    "SELECT 'd' || p_partkey AS doc_id, 'import' AS ref_kind, 'os' AS target_name, 1 AS line, '' AS source FROM part UNION ALL SELECT 'd' || p_partkey, 'import', 'load_' || p_partkey, 2, '' FROM part "
+    "UNION ALL SELECT 'd' || p_partkey, 'call', 'load_' || p_partkey, 9, 'run_' || p_partkey FROM part UNION ALL SELECT 'd' || p_partkey, 'call', 'exists', 12, 'main_' || p_partkey FROM part"
+)
+def code_references(spark, sf_dir):
+    files = _code_files(spark, sf_dir)
+    found = extract.symbols(files)
+    names = found.select(F.col("id").alias("source_symbol_id"), F.col("name").alias("source"))
+    return extract.references(files, found).join(names, "source_symbol_id", "left").select("doc_id", "ref_kind", "target_name", "line", F.coalesce("source", F.lit("")).alias("source"))
+
+
+@_register("SELECT 'd' || p_partkey AS doc_id, 'app.store,load_' || p_partkey || ',os' AS imports FROM part")
+def code_imports(spark, sf_dir):
+    return _code_files(spark, sf_dir).select("doc_id", F.array_join(extract.imports_of(F.col("text")), ",").alias("imports"))
+
+
+@_register(
+    f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_start) - 1 + 2)::INTEGER AS ord, 'symbol' AS chunk_type, {_QUALIFIED_SQL} AS section, name AS symbol_name, line_start, line_end FROM {_SYMBOLS_SQL} "
+    "UNION ALL SELECT 'd' || p_partkey, 1, 'imports', 'imports', '', 1, 2 FROM part UNION ALL SELECT 'd' || p_partkey, 0, 'file_summary', 'file summary', '', 1, 12 FROM part"
+)
+def code_chunks(spark, sf_dir):
+    files = _code_files(spark, sf_dir)
+    made = chunks.chunks(files, extract.symbols(files), Settings(file_summaries=True))
+    return made.select("doc_id", "ord", "chunk_type", "section", "symbol_name", "line_start", "line_end")
+
+
+# --- pages of PDF files -----------------------------------------------------------------------------------------------
+
+
+@_register(
+    "WITH b AS (SELECT *, p_size::DOUBLE AS v, (p_partkey % 10) / 10.0::DOUBLE AS bold, (p_partkey % 7) / 10.0::DOUBLE AS mono FROM part), x AS (SELECT p_brand, v, unnest(range(greatest(1, least(50, length(p_name) // 20)))) FROM b), "
+    "m AS (SELECT p_brand, quantile_cont(v, 0.5) AS body FROM x GROUP BY p_brand) "
+    "SELECT p_partkey, CASE WHEN length(p_name) <= 180 AND (v >= 1.18 * body OR (bold >= 0.65 AND v >= 0.98 * body)) THEN 'heading' WHEN mono >= 0.55 THEN 'code' ELSE 'text' END AS kind FROM b JOIN m USING (p_brand)"
+)
+def pdf_block_kinds(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    blocks = part.select(
+        "p_partkey", F.col("p_brand").alias("doc_id"), F.col("p_name").alias("text"), F.col("p_size").cast("double").alias("font_size"), ((F.col("p_partkey") % 10) / 10.0).alias("bold_ratio"), ((F.col("p_partkey") % 7) / 10.0).alias("mono_ratio")
+    )
+    return pdf_blocks.classified(blocks).select("p_partkey", "kind")
+
+
+@_register(
+    "SELECT conv_id, (turn // 4)::BIGINT AS page, 0 AS ord, 'pdf_text' AS chunk_type, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, min(turn)::DOUBLE AS x0, max(turn)::DOUBLE AS x1 FROM conversations WHERE length(text) > 0 GROUP BY conv_id, turn // 4"
+)
+def pdf_page_chunks(spark, sf_dir):
+    turns = _t(spark, sf_dir, "conversations").where(F.length("text") > 0)
+    at = F.col("turn").cast("double")
+    blocks = turns.select(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 4).alias("page"), F.col("turn").cast("int").alias("ord"), F.lit("text").alias("kind"), "text", F.array(at, at, at, at).alias("bbox"))
+    made = pdf_blocks.pdf_chunks(blocks, tokens=1 << 30)
+    return made.select(F.col("doc_id").alias("conv_id"), "page", "ord", "chunk_type", "text", F.get("bbox", F.lit(0)).alias("x0"), F.get("bbox", F.lit(2)).alias("x1"))
+
+
+@_register("SELECT conv_id AS doc_id, (turn // 3)::BIGINT AS page, max_by(role, turn) AS title FROM conversations GROUP BY ALL")
+def pdf_page_titles(spark, sf_dir):
+    outline = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 3).alias("page"), F.col("role").alias("title"), F.col("turn").alias("pos"))
+    return pdf_blocks.page_titles(outline)
+
+
+@_register(
+    "WITH t AS (SELECT doc_id, replace(regexp_replace(text, '\\. ', '-' || chr(10), 'g'), chr(10), ' ' || chr(10) || chr(10) || chr(10)) || chr(10) || 'co-' || chr(10) || 'op' AS t FROM documents), "
+    "a AS (SELECT doc_id, regexp_replace(t, '(\\p{L})-\\n(\\p{Ll})', '\\1\\2', 'g') AS t FROM t), b AS (SELECT doc_id, regexp_replace(t, '[ \\t]+\\n', chr(10), 'g') AS t FROM a) "
+    "SELECT doc_id, md5(trim(regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g'))) AS cleaned FROM b"
+)
+def page_text_clean(spark, sf_dir):
+    raw = F.concat(F.replace(F.regexp_replace("text", r"\. ", "-\n"), F.lit("\n"), F.lit(" \n\n\n")), F.lit("\nco-\nop"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(clean_page_text(raw)).alias("cleaned"))
+
+
+# --- more of the index -------------------------------------------------------------------------------------------------
+
+
+@_register(
+    "WITH l AS (SELECT n_chars, source || '/' || doc_id AS path FROM documents ORDER BY n_chars DESC, path LIMIT 20) SELECT 'largest' AS what, path, n_chars AS size FROM l "
+    "UNION ALL SELECT 'files', '', count(*) FROM documents UNION ALL SELECT 'bytes', '', sum(n_chars)::BIGINT FROM documents"
+)
+def scan_statistics_report(spark, sf_dir):
+    files = _t(spark, sf_dir, "documents").select(F.col("n_chars").alias("size_bytes"), F.concat_ws("/", "source", "doc_id").alias("path"))
+    found = scan.scan_statistics(files, 20)
+    rows = [("files", "", found["files"]), ("bytes", "", found["bytes"]), *(("largest", x["path"], x["size"]) for x in found["largest"])]
+    return spark.createDataFrame(rows, "what string, path string, size long")
+
+
+@_register("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT p_partkey + 100000000, min(p_name) FROM part GROUP BY 1")
+def insert_ignored(spark, sf_dir):
+    table = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    rows = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).unionByName(_t(spark, sf_dir, "part").select((F.col("p_partkey") + 100_000_000).alias("id"), F.col("p_name").alias("name")))
+    return reconcile.insert_or_ignore(table, rows, "id")
+
+
+def _nation_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _t(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("target_name_lc"))
+    refs = _t(spark, sf_dir, "customer").join(F.broadcast(names), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    return refs.select(F.col("c_custkey").alias("id"), "target_name_lc", F.col("c_mktsegment").alias("path"), F.col("c_custkey").alias("line"), (F.col("c_custkey") % 25).cast("string").alias("source_symbol_id"))
+
+
+_ENGLISH_SQL = "lang = 'en'"
+_REFS_TO_7 = "(SELECT c_custkey AS id, c_mktsegment AS path, c_custkey AS line, c_custkey % 25 AS source FROM customer WHERE c_nationkey = 7 ORDER BY path, line, id LIMIT 40)"
+
+
+@_register(f"SELECT id, path, line FROM {_REFS_TO_7}")
+def neighbors_references(spark, sf_dir):
+    return navigation.neighbors(_nations_as_symbols(spark, sf_dir), _nation_refs(spark, sf_dir), 7)["references"].select("id", "path", "line")
+
+
+@_register(f"SELECT r.id, path, n_name AS caller FROM {_REFS_TO_7} r JOIN nation ON n_nationkey = source")
+def neighbors_callers(spark, sf_dir):
+    return navigation.neighbors(_nations_as_symbols(spark, sf_dir), _nation_refs(spark, sf_dir), 7)["callers"].select("id", "path", "caller")
+
+
+@_register(
+    f"WITH w AS (SELECT doc_id::VARCHAR AS id, score FROM {bm25_sql('documents', 'doc_id', {'text': 1.0}, PHRASES, _ENGLISH_SQL)} x ORDER BY x.score DESC, id LIMIT 120), r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM w) "
+    "SELECT id, round(0.38::DOUBLE / (60 + r), 6) AS score FROM r ORDER BY r LIMIT 8"
+)
+def document_search_keyword(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    held = docs.select("id", F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("path"), F.when(F.col("lang") == "en", "pdf_text").otherwise("text").alias("chunk_type"), F.lit(0).alias("ord"))
+    index = _index(docs.select("id", "text"), sf_dir, "documents by text id", "id", ["text"])
+    hits = documents.document_search(docs.select("doc_id"), held, docs, QUERY, [], mode="keyword", index=index)
+    return hits.select("id", _r("score").alias("score"))
+
+
+@_register()
+def ann_topk_batch(spark, sf_dir):
+    """The vectors whose id is divisible by 20 as queries, against inverted lists of all vectors. No SQL: a test measures its recall against the exact search."""
+    vectors = _t(spark, sf_dir, "embeddings")
+    centroids = ann.fit_centroids(vectors, max(4, round(vectors.count() ** 0.5)))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = ann.ivf_topk_many(ann.ivf_index(vectors, centroids), centroids, asked, 10)
+    return found.select("query_id", "vec_id", _r("score").alias("score"), "rank")

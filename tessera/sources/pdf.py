@@ -14,7 +14,7 @@ from tessera.settings import Settings
 OCR_CHARS = 48
 _BLOCKS = pa.schema(
     [("uri", pa.string()), ("page", pa.int32()), ("pages", pa.int32()), ("label", pa.string()), ("ord", pa.int32()), ("text", pa.string()), ("bbox", pa.list_(pa.float64())), ("font_size", pa.float64()),
-     ("bold_ratio", pa.float64()), ("mono_ratio", pa.float64()), ("ocr", pa.bool_()), ("ocr_error", pa.string()), ("error", pa.string())]
+     ("bold_ratio", pa.float64()), ("mono_ratio", pa.float64()), ("ocr", pa.bool_()), ("ocr_error", pa.string()), ("error", pa.string()), ("truncated_pages", pa.int32())]
 )
 
 
@@ -60,17 +60,19 @@ def page_tables(page) -> list[dict]:
 
 
 def read_pdf_blocks(files: DataFrame, settings: Settings | None = None, ocr: str = "off") -> DataFrame:
-    """Blocks of the PDF files in files (uri, content), a row each; a file that can't be read gives one row with its error.
+    """Blocks of the PDF files in files (uri, content), a row each; a file that can't be read gives one row with its error. truncated_pages, the same in all
+    rows of a file, are those that pdf_max_pages and pdf_max_chars left out, in whole or in part.
 
     ocr: off, auto (pages with images and hardly any text) or always; what fails is recorded in ocr_error.
     """
     settings = settings or Settings()
 
-    def blocks_of(uri: str, content: bytes) -> Iterator[dict]:
+    def blocks_of(uri: str, content: bytes) -> list[dict]:
         import pymupdf
 
+        out: list[dict] = []
         with pymupdf.open(stream=content, filetype="pdf") as pdf:
-            chars = 0
+            chars, left_out = 0, max(0, len(pdf) - settings.pdf_max_pages)
             for number in range(min(len(pdf), settings.pdf_max_pages)):
                 page, failed = pdf[number], ""
                 text_page = None
@@ -79,21 +81,25 @@ def read_pdf_blocks(files: DataFrame, settings: Settings | None = None, ocr: str
                         text_page = page.get_textpage_ocr()
                     except Exception as e:  # noqa: BLE001  the page keeps what text it has
                         failed = str(e)[:200]
+                if chars > settings.pdf_max_chars:
+                    break
                 for i, block in enumerate(page_blocks(page.get_text("dict", textpage=text_page) if text_page else page.get_text("dict"))):
                     chars += len(block["text"])
                     if chars > settings.pdf_max_chars:
-                        return
-                    yield block | {"uri": uri, "page": number + 1, "pages": len(pdf), "label": page.get_label() or str(number + 1), "ord": i, "ocr": text_page is not None, "ocr_error": failed, "error": ""}
+                        left_out = len(pdf) - number
+                        break
+                    out.append(block | {"uri": uri, "page": number + 1, "pages": len(pdf), "label": page.get_label() or str(number + 1), "ord": i, "ocr": text_page is not None, "ocr_error": failed, "error": ""})
+        return [b | {"truncated_pages": left_out} for b in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 try:
-                    out = list(blocks_of(row["uri"], row["content"]))
+                    out = blocks_of(row["uri"], row["content"])
                 except Exception as e:  # noqa: BLE001  one bad file must not end the job
                     out = [{"uri": row["uri"], "error": f"{type(e).__name__}: {e}"[:300]}]
                 yield pa.RecordBatch.from_pylist(out, _BLOCKS)
 
     return files.select("uri", "content").mapInArrow(
-        run, "uri string, page int, pages int, label string, ord int, text string, bbox array<double>, font_size double, bold_ratio double, mono_ratio double, ocr boolean, ocr_error string, error string"
+        run, "uri string, page int, pages int, label string, ord int, text string, bbox array<double>, font_size double, bold_ratio double, mono_ratio double, ocr boolean, ocr_error string, error string, truncated_pages int"
     )
