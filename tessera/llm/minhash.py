@@ -8,9 +8,8 @@ have signatures beyond it with probability 1.3e-6, and of more with less. What m
 
 Copies never become pairs of rows. Equal sets are one class. Under each key the classes are first held against the
 least one (a star, so at most one pair for each entry), the confirmed pairs give components, and only keys
-that still hold several components are looked at again. In large ones, rows outside the largest component are held against
-another of its rows, STARS times (again a pair for each entry); where that joins all, the key is done. Of what is
-left, rows of small keys that are in different components are paired, if the signatures allow it; in large keys, rows outside the largest component are held against all
+that still hold several components are looked at again: rows of small keys that are in different components are
+paired, if the signatures allow it; in large keys, rows outside the largest component are held against all
 rows in blocks of bounded size, and one link to each component is enough. No cap drops anything.
 """
 
@@ -18,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +31,6 @@ CHUNKS, WIDTH = 13, 4
 MAX_DISTANCE = 2 * CHUNKS - 1
 #: Keys of more rows are compared in blocks.
 SMALL_KEY = 64
-#: Further stars in large keys, each from another row of the largest component.
-STARS = 2
 #: Shingles in each side of a block: 8 MB.
 BLOCK_SHINGLES = 1_000_000
 
@@ -118,13 +114,13 @@ def _alike(a: str, b: str, percent: int) -> Column:
 
 
 def index_keys(reps: DataFrame) -> DataFrame:
-    """(rep, key): each chunk WIDTH times, with one of its values left out."""
+    """(rep, n, key): each chunk WIDTH times, with one of its values left out."""
     keys = [
         F.xxhash64(F.lit(c * WIDTH + d), F.col(s).bitwiseAND(F.lit(~(0xFFFF << (16 * d)) if 16 * d < 48 else (1 << 48) - 1)))
         for c, s in enumerate(_SIGS)
         for d in range(WIDTH)
     ]
-    return reps.select("rep", F.explode(F.array(*keys)).alias("key"))
+    return reps.select("rep", "n", F.explode(F.array(*keys)).alias("key"))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -148,16 +144,21 @@ def confirm(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> Da
     return with_a.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _tiles(large: DataFrame, weight: Column, most: int) -> DataFrame:
+    """The rows of each key twice, in the blocks (i, j) of `most` weight a side: all of them, and as asking those outside of its largest component."""
+    main = large.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum(weight).alias("w"))
+    main = main.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("w").alias("all"), (F.sum("w") - F.max(F.struct("rows", "comp", "w"))["w"]).alias("rest"))
+    tall = F.greatest(F.lit(1), F.ceil(F.col("all") / most)).cast("int")
+    wide = F.greatest(F.lit(1), F.ceil(F.col("rest") / most)).cast("int")
+    rows = large.join(main, "key").select(*large.columns, (F.col("comp") != F.col("main")).alias("asks"), tall.alias("tall"), wide.alias("wide"))
+    h = F.xxhash64("rep")
+    against = rows.select(*large.columns, F.lit(False).alias("asks"), F.pmod(h, "tall").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"))
+    asking = rows.where("asks").select(*large.columns, "asks", F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("i"), F.pmod(h, "wide").alias("j"))
+    return against.unionByName(asking)
+
+
 def _blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between rows of different components under the large keys. large: key, rep, comp, n."""
-    main = large.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-    main = main.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max(F.struct("rows", "comp", "n"))["n"]).alias("rest"))
-    tall = F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
-    wide = F.greatest(F.lit(1), F.ceil(F.col("rest") / BLOCK_SHINGLES)).cast("int")
-    rows = large.join(main, "key").select("key", "rep", "comp", (F.col("comp") != F.col("main")).alias("asks"), tall.alias("tall"), wide.alias("wide"))
-    h = F.xxhash64("rep")
-    against = rows.select("key", "rep", "comp", F.lit(False).alias("asks"), F.pmod(h, "tall").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"))
-    asking = rows.where("asks").select("key", "rep", "comp", "asks", F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("i"), F.pmod(h, "wide").alias("j"))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -178,8 +179,8 @@ def _blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             b += reps[near[first]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    blocks = against.unionByName(asking).join(sets, "rep")
-    return blocks.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    tiles = _tiles(large, F.col("n"), BLOCK_SHINGLES).select("key", "rep", "comp", "asks", "i", "j")
+    return tiles.join(sets, "rep").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,45 +218,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     first = ws.put(connected_components(links, ws, rows=n_hits), "first", n_docs)
     of = first.select(F.col("node").alias("rep"), "component")
 
-    def open_keys(entries: DataFrame, name: str) -> DataFrame:
-        """The entries (key, rep, rows, comp) of keys that hold several components."""
-        mixed_keys = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        return ws.put(entries.join(mixed_keys, "key"), name, n_hits)
-
-    def between(pairs: DataFrame) -> DataFrame:
-        """The components that links are between."""
-        return pairs.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-
-    entries = ws.put(hits.join(of, "rep", "left").select("key", "rep", "rows", F.coalesce("component", "rep").alias("comp")), "entries", n_hits)
+    entries = hits.join(of, "rep", "left").select("key", "rep", "n", "rows", F.coalesce("component", "rep").alias("comp"))
+    entries = ws.put(entries, "entries", n_hits)
     ws.drop("hits")
-    left = open_keys(entries, "left_0")
-    ids = ws.put(left.select("rep").distinct(), "ids2", n_docs)
-    sets = sets_of(docs, ids, ws, "sets2", shingle, id_col, text_col)
-    found = []
-    for step in range(1, STARS + 1):
-        large = left.where(F.col("rows") > SMALL_KEY)
-        if large.isEmpty():
-            break
-        largest = large.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64(F.lit(step), "rep").alias("h"), F.col("rep").alias("rep"))).alias("one"))
-        largest = largest.groupBy("key").agg(F.max(F.struct("rows", "comp", F.col("one.rep").alias("leader"))).alias("m")).select("key", F.col("m.comp").alias("main"), "m.leader")
-        pairs = large.join(largest, "key").where("comp <> main").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        pairs = ws.put(allowed(pairs).join(stars, ["a", "b"], "left_anti"), f"tried_{step}", n_hits)
-        n_pairs = pairs.count()
-        found.append(ws.put(gathered(confirm(pairs, n_pairs, sets, percent), n_pairs), f"found_{step}"))
-        joined = connected_components(reduce(DataFrame.unionByName, map(between, found)), ws, rows=n_hits)
-        joined = ws.put(joined.select(F.col("node").alias("was"), "component"), f"joined_{step}", n_docs)
-        again = entries.join(left.select("key").distinct(), "key", "left_semi").join(joined, F.col("comp") == F.col("was"), "left")
-        left = open_keys(again.select("key", "rep", "rows", F.coalesce("component", "comp").alias("comp")), f"left_{step}")
+    mixed_keys = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    left = ws.put(entries.join(mixed_keys, "key"), "left", n_hits)
     few = left.where(F.col("rows") <= SMALL_KEY).select("key", "rep", "comp")
     x, y = few.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), few.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
     rest = allowed(x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct())
     rest = ws.put(rest.join(stars, ["a", "b"], "left_anti"), "rest", n_hits)
-    large = ws.put(left.where(F.col("rows") > SMALL_KEY).join(reps.select("rep", "n"), "rep").select("key", "rep", "comp", "n"), "large", n_hits)
+    large = left.where(F.col("rows") > SMALL_KEY).select("key", "rep", "comp", "n")
+    ids = ws.put(rest.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct(), "ids2", n_docs)
+    sets = sets_of(docs, ids, ws, "sets2", shingle, id_col, text_col)
     # heavy to find, small to write: each in as many tasks as its sets and blocks fill, then in few files
     n_rest, n_large = rest.count(), large.count()
-    found.append(ws.put(gathered(confirm(rest, n_rest, sets, percent).unionByName(_blocks(large, sets, percent)), n_rest + n_large), "found"))
-    ws.drop("sets2", "ids2", "entries")
-    second = ws.put(connected_components(reduce(DataFrame.unionByName, map(between, found)), ws, rows=n_hits), "second", n_docs)
+    more = ws.put(gathered(confirm(rest, n_rest, sets, percent).unionByName(_blocks(large, sets, percent)), n_rest + n_large), "more")
+    ws.drop("sets2", "ids2", "left", "entries")
+    ends = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    second = ws.put(connected_components(ends, ws, rows=n_hits), "second", n_docs)
 
     labels = reps.select("k1", "k2", "rep").join(of, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c1"))
     labels = labels.join(second.toDF("c1", "c2"), "c1", "left").select("k1", "k2", F.coalesce("c2", "c1").alias("component"))
