@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .sharding import SHARDS, SLOTS, lookup_table
 from .urls import RULES
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -19,6 +20,13 @@ c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+#: The table of slots stands in the SQL; a test holds it against one made another way.
+_OWNERS = ",".join(map(str, lookup_table([f"shard-{i:03d}" for i in range(SHARDS)], SLOTS)))
+OP3 = f"""
+WITH t AS (SELECT unnest([{_OWNERS}]) AS owner, unnest(range({SLOTS})) AS slot), d AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS} AS slot FROM documents)
+SELECT doc_id, slot::INTEGER AS slot, 'shard-' || lpad(owner::VARCHAR, 3, '0') AS shard FROM d JOIN t USING (slot)
+"""
+
 OP8 = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, {_WORDS.format('text')} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
@@ -65,4 +73,4 @@ fate AS (SELECT component, min(ruled) AS fate FROM said JOIN c USING (key) GROUP
 SELECT page_id, host, path, rule, coalesce(ruled, fate, 'allow') AS verdict FROM own LEFT JOIN c USING (key) LEFT JOIN fate USING (component)
 """
 
-ORACLE_SQL = {"op1_minhash_near_dedup": OP1, "op8_quality_rules": OP8, "op9_url_filters": OP9}
+ORACLE_SQL = {"op1_minhash_near_dedup": OP1, "op3_sharding": OP3, "op8_quality_rules": OP8, "op9_url_filters": OP9}

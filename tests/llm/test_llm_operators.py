@@ -579,3 +579,54 @@ def test_queries_cover_their_tables(spark, sf, name):
     key = "page_id" if table == "pages" else "doc_id"
     rows = spark.read.parquet(f"{sf}/{table}.parquet")
     assert queries.QUERIES[name](spark, sf).select(key).distinct().count() == rows.where("1 = 1").count()
+
+
+def test_lookup_table_as_whole_permutations():
+    """The table by writing down each shard's whole order of the slots, and striking out what is taken."""
+    shards, slots = [f"shard-{i:03d}" for i in range(11)], 1009
+    orders = []
+    for name in shards:
+        digits = hashlib.md5(name.encode()).hexdigest()
+        first, step = int(digits[:15], 16) % slots, 1 + int(digits[15:30], 16) % (slots - 1)
+        orders.append([(first + k * step) % slots for k in range(slots)])
+    owner = {}
+    while len(owner) < slots:
+        for i, order in enumerate(orders):
+            free = [x for x in order if x not in owner]
+            if free:
+                owner[free[0]] = i
+                orders[i] = free[1:]
+    assert sharding.lookup_table(shards, slots) == [owner[x] for x in range(slots)]
+    counts = Counter(owner.values())
+    assert max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_many_rows_of_one_key_are_many_blocks_and_keep_the_target(spark):
+    """A third of all rows are one and the same, and many have no doc_id: the mix meets its targets, and takes each as often as it says."""
+    rng = random.Random(3)
+    same = [(7, "one two three four", "a")] * 400
+    rows = same + [(None, _text(rng, rng.randrange(1, 40)), rng.choice("abc")) for _ in range(300)] + [(100 + i, _text(rng, rng.randrange(1, 60)), rng.choice("bcd")) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, common.Workspace(spark, "test")).collect()
+    assert len(got) == len(rows)
+    longest = {}
+    for _, text, source in rows:
+        longest[source] = max(longest.get(source, 0), len(text.split()))
+    for source in "abcd":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= longest[source]
+    mixed = mixing.mixed_documents(docs)
+    taken = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixed.collect())
+    want = Counter()
+    for r in got:
+        want[r.doc_id, r.source, r.size] += r.copies
+    assert taken == +want
+
+
+def test_rules_of_equal_length_are_decided_alike(spark, monkeypatch):
+    rules = (("block", "net.net", "/a"), ("block", "net", "/a/xyz"), ("allow", "b.net", "/x"), ("block", "net", "/x/yy"))
+    pages = spark.createDataFrame([(1, "http://net.net/a/xyz", ""), (2, "http://b.net/x/yy", ""), (3, "http://c.net/" + "a" * 100_000, ""), (4, None, None)], "page_id long, url string, html string")
+    few = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules).collect()}
+    monkeypatch.setattr(urls, "INLINE_RULES", 0)
+    many = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules).collect()}
+    assert few == many and few[2] == ("net/x/yy", "block") and few[3] == few[4] == (None, "allow")
