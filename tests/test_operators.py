@@ -33,10 +33,16 @@ def test_bm25_agrees_with_a_full_text_engine(spark):
 def test_postings_give_the_same_scores(spark):
     df = spark.createDataFrame(ROWS, "id long, title string, body string")
     index = lexical.postings(df, "id", ["title", "body"])
-    stats = df.agg(F.count("*").alias("n_rows"), F.avg(F.size(T.tokens(F.col("title"))) + F.size(T.tokens(F.col("body")))).alias("avg_size"))
-    a = {r.id: r.score for r in lexical.bm25_from_postings(index, stats, "id", ["fox", "token"], {"title": 2.0, "body": 1.0}).collect()}
-    b = {r.id: r.score for r in lexical.bm25(df, "id", {"title": 2.0, "body": 1.0}, [["fox"], ["token"]]).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    stats = lexical.statistics(lexical.sizes(index, df, "id"))
+    weights = {"title": 2.0, "body": 1.0}
+    for query in ("fox", "validate_token", "brown-fox token", "fox nothing vital", "fox.fox"):
+        phrases = T.query_phrases(query)
+        for scope in (None, F.col("id") > 1):
+            scoped = None if scope is None else df.where(scope)
+            a = {r.id: r.score for r in lexical.bm25_from_postings(index, stats, "id", phrases, weights, scoped).collect()}
+            b = {r.id: r.score for r in lexical.bm25(df, "id", weights, phrases, scope).collect()}
+            assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a), query
+    assert lexical.bm25_from_postings(index, stats, "id", [], weights).count() == 0
 
 
 def test_dense_plans_and_batches(spark):
