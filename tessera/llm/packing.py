@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, broadcast_if_small
+from .common import Workspace, broadcast_if_small, word_counts
 from .minhash import near_duplicates
-from .mixing import n_words, numbered
+from .mixing import numbered
 
 CAPACITY = 4096
 #: Pieces of one source in a bin at most.
@@ -120,6 +121,17 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def _counted_words(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, source, cluster, text) as (doc_id, source, whole, cluster), whole being the words of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sources, clusters, texts = batch.columns
+            yield pa.RecordBatch.from_arrays([ids, sources, pa.array(word_counts(texts), pa.int64()), clusters], names=["doc_id", "source", "whole", "cluster"])
+
+    return rows.mapInArrow(run, "doc_id long, source string, whole long, cluster long")
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(cluster, component): the hash of each text that has near copies, and the least hash that links reach (its own row is left out).
 
@@ -140,12 +152,10 @@ def packed(
     cluster spreads evenly; each group is packed by best fit, and bin_id is unique over all groups. Documents without words
     take no part. Repeated rows are packed each (as one cluster, and over all groups); null sources are one source, null ids and other columns don't matter.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        (n_words(F.col("text").cast("string")) if size is None else size.cast("long")).alias("whole"),
-        (_text_hash() if cluster is None else F.xxhash64(cluster)).alias("cluster"),
-    ).where("whole > 0")
+    ids = F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")
+    same = (_text_hash() if cluster is None else F.xxhash64(cluster)).alias("cluster")
+    rows = _counted_words(docs.select(*ids, same, F.col("text").cast("string").alias("text"))) if size is None else docs.select(*ids, size.cast("long").alias("whole"), same)
+    rows = rows.where("whole > 0")
     groups = max(1, -(-docs.count() // group_rows))
     ws = Workspace(docs.sparkSession, "pack")
     counted = ws.put(rows.groupBy("doc_id", "source", "whole", "cluster").agg(F.count("*").alias("n")), "rows")

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -231,6 +232,35 @@ def test_packing_on_awkward_rows(clashing, empty):
     assert packing.packed(empty).count() == 0
 
 
+def test_packing_counts_words_without_a_regular_expression(clashing, monkeypatch):
+    plans, put = [], common.Workspace.put
+
+    def noted(ws, df, *args):
+        plans.append(df._jdf.queryExecution().toString())
+        return put(ws, df, *args)
+
+    monkeypatch.setattr(common.Workspace, "put", noted)
+    size = Counter()
+    for r in packing.packed(clashing).collect():
+        size[r.doc_id] += r.size
+    counted = clashing.groupBy("doc_id").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).where("n > 0")
+    assert size == Counter({r.doc_id: r.n for r in counted.collect()})
+    assert plans and not any("regexp" in p for p in plans)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.none() | st.text(" \t\n\x0b\x0c\r\x1c\x85\xa0\u3000ab\u65e5", max_size=12), max_size=6), st.sampled_from([1, 2, 5, 1 << 20]), st.integers(0, 6), st.sampled_from([pa.string(), pa.large_string()]))
+def test_word_counts_and_hashes_of_texts(texts, run, skip, kind):
+    kept, common.RUN = common.RUN, run
+    try:
+        got = common.word_counts(pa.array(texts, kind).slice(skip))
+    finally:
+        common.RUN = kept
+    assert got.tolist() == [len(_words(t)) for t in texts[skip:]]
+    real = [t for t in texts if t is not None]
+    assert common.hashed(pa.array(real, kind).slice(skip)).tolist() == [xxhash.xxh3_64_intdigest(t.encode()) for t in real[skip:]]
+
+
 def test_near_copies_never_share_a_bin(spark, empty, tmp_path):
     texts = [t for _, t in _families(3)]
     rows = [(i, t, "en", f"s{i}", 0) for i, t in enumerate(texts)]
