@@ -215,7 +215,7 @@ class Engine:
         chunk = t["chunks"].where(F.col("id") == plain).select("id", "doc_id", "path", "ord", fetch_text(F.col("text"), n).alias("text"), "line_start", "line_end").first()
         if chunk is None:
             raise KeyError(uri)
-        around = navigation.adjacent(t["chunks"], plain, max(0, min(context, 4))).select("id", "ord", "text").collect()
+        around = navigation.adjacent(t["chunks"], chunk["doc_id"], chunk["ord"], max(0, min(context, 4))).select("id", "ord", "text").collect()
         return chunk.asDict() | {"context": [r.asDict() for r in around]}
 
     def status(self) -> dict:

@@ -128,10 +128,9 @@ def language_counts(docs_or_symbols: DataFrame, column: str = "language") -> Dat
     return docs_or_symbols.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), column)
 
 
-def adjacent(chunks: DataFrame, chunk_id: str, radius: int) -> DataFrame:
-    """A chunk and those up to radius before and behind it, in order."""
-    me = chunks.where(F.col("id") == chunk_id).select("doc_id", F.col("ord").alias("__o"))
-    return chunks.join(F.broadcast(me), "doc_id").where(F.abs(F.col("ord") - F.col("__o")) <= radius).drop("__o").orderBy("ord")
+def adjacent(chunks: DataFrame, doc_id: str, at: int, radius: int) -> DataFrame:
+    """The chunks of a document that stand up to radius before and behind a place, in order, whether or not one stands at the place itself."""
+    return chunks.where((F.col("doc_id") == doc_id) & F.col("ord").between(at - radius, at + radius)).orderBy("ord", "id")
 
 
 def outline(chunks: DataFrame, doc_id: str, limit: int = 500) -> DataFrame:

@@ -399,7 +399,7 @@ def adjacent_context(spark, sf_dir):
 
 @_register(f"SELECT id, ord FROM {_CONV_SQL} WHERE doc_id = '3' AND abs(ord - 2) <= 1")
 def adjacent_chunks(spark, sf_dir):
-    return navigation.adjacent(_conversation_chunks(spark, sf_dir), "3:2", 1).select("id", "ord")
+    return navigation.adjacent(_conversation_chunks(spark, sf_dir), "3", 2, 1).select("id", "ord")
 
 
 @_register(f"SELECT page, section, min(ord) AS ord FROM (SELECT page, chunk_type AS section, ord FROM {_CONV_SQL} WHERE doc_id = '3' ORDER BY ord LIMIT 500) GROUP BY page, section")
