@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot
@@ -47,32 +47,38 @@ def _nearest(vectors: DataFrame, asked: list, k: int, id_col: str, vector_col: s
     return vectors.select(F.col(id_col).cast("long").alias(id_col), vector_col).mapInArrow(run, f"{query_id} long, {id_col} long, score double"), shared
 
 
+def in_blocks(queries: DataFrame, query_id: str, schema: str, most_queries: int, search: Callable[[list], tuple[DataFrame, Broadcast]]) -> DataFrame | None:
+    """What search gives for the queries (query_id, vector): of all of them at once, or, if they are more than most_queries, of one block after another.
+
+    Blocks are of about most_queries by hash, and what they give is written to the shared folder, so that the driver and the tasks hold one block at a time. None without queries.
+    """
+    spark, asked = queries.sparkSession, queries.limit(most_queries + 1).collect()
+    if len(asked) <= most_queries:
+        return search(asked)[0] if asked else None
+    root, blocks = shared_folder(spark, "dense"), -(-queries.count() // most_queries)
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64(query_id, "vector"), F.lit(blocks)).cast("int"))
+    dealt.repartition("block").write.partitionBy("block").parquet(f"{root}/asked")
+    dealt, written = spark.read.schema(dealt.schema).parquet(f"{root}/asked"), []
+    for i in range(blocks):
+        asked = dealt.where(F.col("block") == i).select(query_id, "vector").collect()
+        if asked:
+            found, shared = search(asked)
+            found.write.parquet(f"{root}/found_{i}")
+            written.append(f"{root}/found_{i}")
+            shared.destroy()
+    return spark.read.schema(schema).parquet(*written)
+
+
 def dense_topk_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", most_queries: int = 10_000) -> DataFrame:
     """The k nearest rows of each query (query_id, vector): (query_id, id, score, rank).
 
     The queries are broadcast; each batch of vectors is multiplied with all of them and keeps k a query, so only
-    k rows of a query leave each task. More than most_queries are written to the shared folder in blocks of about that many by hash, and one
-    block after another is held against all vectors, so that the driver and the tasks hold one block at a time.
+    k rows of a query leave each task. More than most_queries are held against all vectors in blocks.
     """
-    spark, queries = vectors.sparkSession, queries.select(F.col(query_id).cast("long").alias(query_id), "vector")
-    asked = queries.limit(most_queries + 1).collect()
-    if not asked:
+    queries = queries.select(F.col(query_id).cast("long").alias(query_id), "vector")
+    local = in_blocks(queries, query_id, f"{query_id} long, {id_col} long, score double", most_queries, lambda asked: _nearest(vectors, asked, k, id_col, vector_col, query_id))
+    if local is None:
         return vectors.select(F.lit(0).cast("long").alias(query_id), F.col(id_col).cast("long"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    if len(asked) <= most_queries:
-        local, _ = _nearest(vectors, asked, k, id_col, vector_col, query_id)
-    else:
-        root, blocks = shared_folder(spark, "dense"), -(-queries.count() // most_queries)
-        dealt = queries.withColumn("block", F.pmod(F.xxhash64(query_id, "vector"), F.lit(blocks)).cast("int"))
-        dealt.repartition("block").write.partitionBy("block").parquet(f"{root}/asked")
-        dealt, written = spark.read.schema(dealt.schema).parquet(f"{root}/asked"), []
-        for i in range(blocks):
-            asked = dealt.where(F.col("block") == i).select(query_id, "vector").collect()
-            if asked:
-                found, shared = _nearest(vectors, asked, k, id_col, vector_col, query_id)
-                found.write.parquet(f"{root}/found_{i}")
-                written.append(f"{root}/found_{i}")
-                shared.destroy()
-        local = spark.read.schema(f"{query_id} long, {id_col} long, score double").parquet(*written)
     # the rank is cut to k in each task before the exchange
     best = Window.partitionBy(query_id).orderBy(F.col("score").desc(), id_col)
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_id, id_col, "score", "rank")

@@ -1,7 +1,12 @@
 """What small regular tables don't show: missing and repeated rows, ties, tables of several parts."""
 
+from functools import reduce
+from operator import add
+
 import duckdb
+import numpy as np
 
+from tessera.operators import ann
 from tessera.plans import catalog
 
 
@@ -13,3 +18,29 @@ def test_chunks_around_a_place_that_has_none(spark, tmp_path):
     want = con.execute(catalog.oracle_sql()["adjacent_chunks"]).fetchall()
     got = [tuple(r) for r in catalog.queries()["adjacent_chunks"](spark, str(tmp_path)).collect()]
     assert got == sorted(want) == [("3:1", 1), ("3:3", 3), ("3:3", 3)]
+
+
+def test_lists_are_searched_by_products_in_bounded_blocks(spark, monkeypatch):
+    """Against the sums over the lists that a query looks at, with many equal vectors, string ids, and more queries than a block holds."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    x[100:300] = x[7]
+    vectors = spark.createDataFrame([(f"v{i:03}", v.tolist()) for i, v in enumerate(x)], "vec_id string, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 400, 20)], "query_id long, vector array<float>")
+    centroids = ann.fit_centroids(vectors, 12)
+    index = ann.ivf_index(vectors, centroids)
+    own = {r.vec_id: r["list"] for r in index.collect()}
+    want = {}
+    for i in range(0, 400, 20):
+        looks = set(np.argsort(-(x[i] @ centroids.T), kind="stable")[:5].tolist())
+        score = lambda j: reduce(add, (float(a) * float(b) for a, b in zip(x[i], x[j], strict=True)), 0.0)  # noqa: B023, E731
+        want[i] = sorted(((-score(j), f"v{j:03}") for j in range(400) if own[f"v{j:03}"] in looks))[:10]
+    for most in (10_000, 7):
+        monkeypatch.setattr(ann, "QUERIES", most)
+        monkeypatch.setattr(ann, "SCORES", 100)
+        found = ann.ivf_topk_many(index, centroids, asked, 10, probes=5)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+        assert got == want
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # a query is not copied for each of its lists
