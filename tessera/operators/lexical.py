@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import add
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,14 +66,55 @@ def top(scored: DataFrame, id_col: str, k: int) -> DataFrame:
     return scored.orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
+#: Tokens whose postings are made at once, about (the tokens of one row are never parted).
+TOKENS = 1_000_000
+
+
+def _postings_of(ids: list[pa.Array], toks: list[pa.Array], columns: list[str]) -> list[pa.Array]:
+    """The postings of some rows, sorted by term, row and column: term, the ids, column, size, hits, positions."""
+    n, m = len(ids[0]), len(toks)
+    lengths = np.stack([pc.list_value_length(t).to_numpy(zero_copy_only=False) for t in toks]).astype(np.int64)
+    words = pc.dictionary_encode(pa.concat_arrays([t.flatten() for t in toks]))
+    by_term = pc.array_sort_indices(words.dictionary)
+    rank = np.empty(len(by_term), np.int64)
+    rank[by_term.to_numpy()] = np.arange(len(by_term))
+    runs = lengths.ravel()
+    place = np.repeat(np.add.outer(np.arange(m), np.arange(n) * m).ravel(), runs)  # row and column of each token
+    position = np.arange(len(place)) - np.repeat(np.cumsum(runs) - runs, runs)
+    key = rank[words.indices.to_numpy()] * (n * m) + place
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    row, column = np.divmod(key[starts] % (n * m), m)
+    ends = np.append(starts, len(key))
+    at = pa.array(row)
+    return [
+        words.dictionary.take(by_term.take(pa.array(key[starts] // (n * m)))), *(i.take(at) for i in ids), pa.array(columns).take(pa.array(column)), pa.array(lengths.sum(0)[row].astype(np.int32)),
+        pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(position[order].astype(np.int32))),
+    ]
+
+
 def postings(rows: DataFrame, id_col: str, columns: list[str], keep: list[str] | None = None) -> DataFrame:
-    """The inverted index (term, id, column, hits, positions, size of the row, and the columns in keep); to be written sorted by term, so that a query's terms prune row groups."""
-    keep = keep or []
-    each = F.array(*(F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("toks")) for c in columns))
-    held = spread(rows.select(id_col, *keep, *columns)).select(id_col, *keep, each.alias("x"))
-    held = held.select(id_col, *keep, F.aggregate("x", F.lit(0), lambda n, c: n + F.size(c["toks"])).alias("size"), F.explode("x").alias("x")).select(id_col, *keep, "size", "x.column", "x.toks")
-    out = held.select(id_col, *keep, "size", "column", F.posexplode("toks").alias("position", "term"))
-    return out.groupBy("term", id_col, *keep, "column", "size").agg(F.count("*").cast("int").alias("hits"), F.array_sort(F.collect_list("position")).alias("positions"))
+    """The inverted index (term, id, column, hits, positions, size of the row, and the columns in keep).
+
+    Nothing is shuffled: each task gives the postings of its rows in runs sorted by term, so that, as they are written, a query's terms prune pages of every file.
+    """
+    own = [id_col, *(keep or [])]
+    held = spread(rows.select(*own, *columns)).select(*own, *(tokens(F.col(c)).alias(f"__t{i}") for i, c in enumerate(columns)))
+    names = ["term", *own, "column", "size", "hits", "positions"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto = np.cumsum(sum(pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[len(own) :]))
+            cuts = [0, *(np.flatnonzero(np.diff(upto // TOKENS)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    part = batch.slice(a, b - a).columns
+                    out = pa.RecordBatch.from_arrays(_postings_of(part[: len(own)], part[len(own) :], columns), names=names)
+                    yield from (out.slice(i, 50_000) for i in range(0, out.num_rows, 50_000))
+
+    kinds = dict(rows.dtypes)
+    return held.mapInArrow(run, f"term string, {', '.join(f'`{c}` {kinds[c]}' for c in own)}, column string, size int, hits int, positions array<int>")
 
 
 def sizes(index: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -109,4 +157,6 @@ def bm25_from_postings(index: DataFrame, stats: DataFrame, id_col: str, phrases:
     idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
     found = hits if scoped is None else hits.join(scoped.select(id_col), id_col, "left_semi")
-    return found.join(dfs, "phrase").crossJoin(F.broadcast(stats)).groupBy(id_col).agg(F.sum(part).alias("score")).where("score > 0")
+    # a phrase's part stands alone in its sum, and the parts are added in the order of the phrases: rows that are alike have equal scores, whatever order they come in
+    parts = [F.coalesce(F.sum(F.when(F.col("phrase") == k, part)), F.lit(0.0)) for k in range(len(phrases))]
+    return found.join(dfs, "phrase").crossJoin(F.broadcast(stats)).groupBy(id_col).agg(reduce(add, parts).alias("score")).where("score > 0")

@@ -89,12 +89,12 @@ _indexes: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def _index(rows: DataFrame, sf_dir: str, table: str, id_col: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Postings and statistics of a table's columns: written sorted by term when a session first asks for them, and read by each query from then on."""
+    """Postings and statistics of a table's columns: written, each task's sorted by term in runs, when a session first asks for them, and read by each query from then on."""
     spark = rows.sparkSession
     key = (spark.sparkContext.applicationId, sf_dir, table, *columns)
     if key not in _indexes:
         index, root = lexical.postings(rows, id_col, columns), shared_folder(spark, "index")
-        index.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{root}/postings")
+        index.write.parquet(f"{root}/postings")
         index = spark.read.schema(index.schema).parquet(f"{root}/postings")
         stats = lexical.statistics(lexical.sizes(index, rows, id_col))
         stats.write.parquet(f"{root}/stats")

@@ -6,7 +6,7 @@ from operator import add
 import duckdb
 import numpy as np
 
-from tessera.operators import ann
+from tessera.operators import ann, lexical
 from tessera.plans import catalog
 
 
@@ -44,3 +44,33 @@ def test_lists_are_searched_by_products_in_bounded_blocks(spark, monkeypatch):
             got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
         assert got == want
         assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # a query is not copied for each of its lists
+
+
+def test_postings_are_made_without_a_shuffle_of_terms(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "TOKENS", 5)
+    rows = [(1, "a", "b a Élan b", "x"), (2, "b", None, "x y x"), (3, "c", "", ""), (4, "d", "a " * 9, "a"), (5, "e", None, None)]
+    df = spark.createDataFrame(rows, "id long, doc string, title string, body string").repartition(2)
+    index = lexical.postings(df, "id", ["title", "body"], ["doc"])
+    want = {}
+    for i, doc, *texts in rows:
+        toks = [(t or "").lower().replace("é", "e").split() for t in texts]
+        for c, own in zip(("title", "body"), toks, strict=True):
+            for at, t in enumerate(own):
+                want.setdefault((t, i, doc, c, sum(map(len, toks))), []).append(at)
+    got = {(r.term, r.id, r.doc, r.column, r["size"]): (r.hits, r.positions) for r in index.collect()}
+    assert got == {k: (len(v), v) for k, v in want.items()} and index.count() == len(want)
+    assert "hashpartitioning(term" not in index._jdf.queryExecution().executedPlan().toString()
+    assert lexical.postings(df.limit(0), "id", ["title", "body"]).count() == 0
+
+
+def test_copies_have_equal_scores(spark):
+    """Ties are broken by id, so copies must not differ in the last digits by the order in which their phrases were summed."""
+    words = "ash birch cedar elm fir hazel larch maple oak pine".split()
+    texts = [" ".join(words[j] for j in range(10) if (i * 7 + j * 3) % (j + 2) == 0) for i in range(40)]
+    df = spark.createDataFrame([(i, texts[i % 40]) for i in range(4000)], "id long, text string").repartition(7)
+    index = lexical.postings(df, "id", ["text"])
+    scored = lexical.bm25_from_postings(index, lexical.statistics(lexical.sizes(index, df, "id")), "id", [[w] for w in words], {"text": 1.0})
+    of = {}
+    for r in scored.collect():
+        of.setdefault(texts[r.id % 40], set()).add(r.score)
+    assert all(len(v) == 1 for v in of.values())
