@@ -67,6 +67,15 @@ def imports_of(text: Column) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.filter(trimmed, lambda x: x != ""))), 1, 256)
 
 
+#: Files whose symbols and references one task sorts, about.
+FILES = 20_000
+
+
+def _tasks(files: DataFrame) -> int:
+    """Tasks for what is sorted by file: as many as shuffles have, or more, so that a task has FILES at most; its memory then follows no table."""
+    return max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-files.count() // FILES))
+
+
 def _by_language(language: Column, f) -> Column:
     out = f(*DEFINITIONS[OTHER])
     for name, (pattern, groups) in DEFINITIONS.items():
@@ -121,7 +130,7 @@ def symbols(files: DataFrame) -> DataFrame:
     """(id, doc_id, path, language, kind, name, qualified_name, parent, signature, docstring, text, line_start, line_end) of files (doc_id, path, text).
 
     A definition is found on its line, and ends where the next begins. It stands in the nearest class or the like before it that is indented less and that no line
-    in between (comments aside) ends by being indented no more than it; parent names these from the outside in. Nothing is shuffled. The id counts equal definitions
+    in between (comments aside) ends by being indented no more than it; parent names these from the outside in. Files are shuffled by doc_id, few to a task. The id counts equal definitions
     of a file and knows no lines, so edits elsewhere in the file keep it.
     """
     rows = files.select("doc_id", "path", language_of(F.col("path")).alias("language"), lines_of(F.coalesce("text", F.lit(""))).alias("lines")).where("language not in ('', 'dockerfile')")
@@ -158,6 +167,7 @@ def symbols(files: DataFrame) -> DataFrame:
     )
     from pyspark.sql import Window
 
+    each = each.repartition(_tasks(files), "doc_id")
     w = Window.partitionBy("doc_id", "kind", "qualified_name", "signature").orderBy("k")
     each = each.withColumn("occurrence", F.row_number().over(w) - 1)
     return each.select(stable_id("symbol-v2", F.col("doc_id"), F.col("language"), F.col("kind"), F.col("qualified_name"), F.col("signature"), F.col("occurrence"), length=28).alias("id"), *[c for c in each.columns if c not in ("k", "occurrence")])
@@ -180,6 +190,6 @@ def references(files: DataFrame, found: DataFrame) -> DataFrame:
     struct = lambda kind: lambda x: F.struct(x.alias("target_name"), F.lit(kind).alias("ref_kind"))
     each = rows.withColumn("x", F.explode(F.array_distinct(F.concat(F.transform(imports, struct("import")), F.transform(calls, struct("call"))))))
     each = each.select("doc_id", "path", "language", "line", "x.target_name", "x.ref_kind", F.substring("own", 1, 240).alias("snippet"))
-    each = enclosing(each, found, "doc_id").withColumn("source_symbol_id", F.coalesce("enclosing_id", F.lit("")))
+    each = enclosing(each, found, "doc_id", parts=_tasks(files)).withColumn("source_symbol_id", F.coalesce("enclosing_id", F.lit("")))
     key = stable_id(F.col("doc_id"), F.col("source_symbol_id"), F.col("target_name"), F.col("ref_kind"), F.col("line"), F.col("snippet"), length=28)
     return each.select(key.alias("id"), "doc_id", "path", "language", "source_symbol_id", "target_name", F.lower("target_name").alias("target_name_lc"), "ref_kind", "line", "snippet")

@@ -9,8 +9,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions.text import like_any_case, ordered_terms_pattern, query_phrases, query_terms
 from tessera.operators.lexical import bm25, bm25_from_postings
@@ -152,40 +154,44 @@ def multi_get(rows: DataFrame, ids: list, id_col: str) -> DataFrame:
     return rows.join(F.broadcast(want), id_col).withColumnRenamed("__pos", "position").orderBy("position")
 
 
-def enclosing(points: DataFrame, intervals: DataFrame, key: str, at: str = "line", start: str = "line_start", end: str = "line_end", id_col: str = "id") -> DataFrame:
+def enclosing(points: DataFrame, intervals: DataFrame, key: str, at: str = "line", start: str = "line_start", end: str = "line_end", id_col: str = "id", parts: int | None = None) -> DataFrame:
     """Each point (key, at) with the innermost interval of its key around it: the one that starts last, of those the shortest, then the least id.
 
     One sweep: starts and points of a key are sorted together, and a fold carries the intervals that are still open, innermost last. A point never meets an interval
-    that is closed or not yet open, so a key of many points and intervals costs their sum and not their product.
+    that is closed or not yet open, so a key of many points and intervals costs their sum and not their product. The points' columns go through the sweep with them, so
+    points are made and shuffled once. parts: tasks of the sweep, for those who know how much there is.
     """
-    kind = dict(intervals.dtypes)[id_col]
-    opens = intervals.select(F.col(key).alias("__key"), F.col(start).cast("double").alias("__at"), F.lit(0).alias("__point"), F.col(end).cast("double").alias("__e"), F.col(id_col).cast("string").alias("__id"), F.lit(None).cast("long").alias("__n"))
-    numbered = points.withColumn("__n", F.xxhash64(F.struct(*points.columns)))
-    asked = numbered.select(F.col(key).alias("__key"), F.col(at).cast("double").alias("__at"), F.lit(1).alias("__point"), F.lit(None).cast("double").alias("__e"), F.lit(None).cast("string").alias("__id"), "__n").where("__at is not null").distinct()
-    schema = f"__key {dict(points.dtypes)[key]}, __at double, __n long, __id string"
+    kind, columns = dict(intervals.dtypes)[id_col], points.schema
+    none = F.lit(None)
+    opens = intervals.select(F.col(key).alias("__key"), F.col(start).cast("double").alias("__at"), F.lit(0).alias("__point"), F.col(end).cast("double").alias("__e"), F.col(id_col).cast("string").alias("__id"), none.cast(columns).alias("__p"))
+    opens = opens.where("__key is not null and __at is not null and __e is not null")
+    asked = points.select(F.col(key).alias("__key"), F.col(at).cast("double").alias("__at"), F.lit(1).alias("__point"), none.cast("double").alias("__e"), none.cast("string").alias("__id"), F.struct(*points.columns).alias("__p"))
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, open_ = None, []  # (end, id), the innermost last
         for batch in batches:
             out = []
-            for k, x, is_point, e, i, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, x, is_point, e, i in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+                if k is None or x is None:  # a point that is nowhere
+                    out.append(None)
+                    continue
                 if k != current:
                     current, open_ = k, []
                 while open_ and open_[-1][0] < x:
                     open_.pop()
                 if is_point:
-                    if open_:
-                        out.append((k, x, n, open_[-1][1]))
+                    out.append(open_[-1][1] if open_ else None)
                 elif e >= x:
                     open_.append((e, i))
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(f).type) for c, f in zip(columns, ("__key", "__at", "__n", "__id"), strict=True)], names=["__key", "__at", "__n", "__id"])
-
-    # of one start, the longest comes first and the greatest id, so that the innermost is on top
-    both = opens.unionByName(asked).where("__key is not null").repartition("__key").sortWithinPartitions("__key", "__at", "__point", F.col("__e").desc(), F.col("__id").cast(kind).desc())
-    found = both.mapInArrow(sweep, schema).select(F.col("__key").alias(key), "__n", F.col("__at"), F.col("__id").cast(kind).alias("enclosing_id"))
-    on = [key, "__n", "__at"]
-    return numbered.withColumn("__at", F.col(at).cast("double")).join(found, on, "left").drop("__n", "__at").select(*points.columns, "enclosing_id")
+            held = batch.column(5).filter(pc.equal(batch.column(2), 1))
+            yield pa.RecordBatch.from_arrays([held, pa.array(out, pa.string())], names=["__p", "__id"])
+
+    # of one start, the longest comes first and the greatest id, so that the innermost is on top; points without a key are dealt out
+    dealt = [F.col("__key"), F.when(F.col("__key").isNull(), F.xxhash64("__p"))]
+    both = opens.unionByName(asked)
+    both = (both.repartition(parts, *dealt) if parts else both.repartition(*dealt)).sortWithinPartitions("__key", "__at", "__point", F.col("__e").desc(), F.col("__id").cast(kind).desc())
+    found = both.mapInArrow(sweep, StructType([StructField("__p", columns), StructField("__id", StringType())]))
+    return found.select("__p.*", F.col("__id").cast(kind).alias("enclosing_id"))
 
 
 def packed_hits(hits: DataFrame, chunks: DataFrame, include_text: bool = False, chars: int = 700) -> DataFrame:

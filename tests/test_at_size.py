@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.operators import ann, chunks, lexical
+from tessera.operators import ann, chunks, extract, lexical, navigation
 from tessera.plans import catalog
 
 NO_SYMBOLS = lambda rows: rows.sparkSession.createDataFrame([], "doc_id string, id string, kind string, name string, qualified_name string, parent string, signature string, text string, line_start int")
@@ -94,3 +94,17 @@ def test_chunks_hold_few_rows_as_objects(spark, monkeypatch, make):
     plain_map = type(rows).mapInArrow
     monkeypatch.setattr(type(rows), "mapInArrow", kept)
     assert make(rows).count() == 500 and sum(handed) == 500 and max(handed) <= 64
+
+
+def test_points_pass_the_sweep_once(spark, monkeypatch):
+    """Repeated points, points that are nowhere and columns of any type come through the sweep itself, in as many tasks as are asked for."""
+    spans = spark.createDataFrame([("d", 1, 1, 20), ("d", 2, 5, 9), (None, 3, 1, 9), ("e", 4, None, 9), ("e", 5, 1, None)], "doc_id string, id int, line_start int, line_end int")
+    rows = [("d", 6, ["x"]), ("d", 6, ["x"]), ("d", 30, None), ("d", None, ["y"]), (None, 6, ["z"]), ("e", 6, [])]
+    found = navigation.enclosing(spark.createDataFrame(rows, "doc_id string, line int, tags array<string>"), spans, "doc_id", parts=3)
+    got = [(r.doc_id, r.line, r.tags, r.enclosing_id) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(((*r, 2 if r[:2] == ("d", 6) else None) for r in rows), key=repr)
+    assert found.rdd.getNumPartitions() == 3 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    files = spark.createDataFrame([(f"d{i}", "a.py", f"def f{i}():\n    g()") for i in range(60)], "doc_id string, path string, text string")
+    monkeypatch.setattr(extract, "FILES", 5)
+    own = extract.symbols(files)
+    assert own.rdd.getNumPartitions() == 12 and extract.references(files, own).rdd.getNumPartitions() == 12
